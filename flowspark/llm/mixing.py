@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import WHITE_CLASS, save
+from flowspark.llm.common import save
 
 #: Documented bound: sources are a setting of the corpus; more than this many raise an error.
 MAX_SOURCES = 100_000
@@ -67,26 +67,33 @@ def solve_exponent(shares: list[float], target_entropy: float | None, max_repeti
     return found
 
 
-def weights(docs: DataFrame, target_entropy: float | None = 0.95, max_repetition: float | None = 4.0, budget: int | None = None) -> list[dict]:
+def narrowed(docs: DataFrame) -> DataFrame:
+    """(source, doc_id, print, n) of each row, written once: all statistics come from it, not from the texts."""
+    return save(docs.select("source", "doc_id", F.xxhash64("text").alias("print"), n_tokens(F.col("text")).alias("n")), "sizes")
+
+
+def weights(narrow: DataFrame, target_entropy: float | None = 0.95, max_repetition: float | None = 4.0, budget: int | None = None) -> list[dict]:
     """Per source: tokens, share, weight and how often it is read (``rate``) within the token ``budget``.
 
     Without a budget it is the smallest at which each source is read once in full, so that no document is
     lost. A source without tokens has weight 0 and is read once.
     """
-    rows = (docs.select(F.col("source").alias("source"), n_tokens(F.col("text")).alias("n")).groupBy("source")
-            .agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect())
+    rows = narrow.groupBy("source").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = sorted(rows, key=lambda r: (r["source"] is not None, r["source"] or ""))
     total = sum(r["tokens"] for r in rows) or 1
     shares = [r["tokens"] / total for r in rows]
     exponent = solve_exponent(shares, target_entropy, max_repetition)
-    w = tempered(shares, exponent)
-    whole = max((r["tokens"] / x for r, x in zip(rows, w, strict=True) if x > 0), default=0.0)
+    shaped = tempered(shares, exponent)
+    whole = max((r["tokens"] / w for r, w in zip(rows, shaped, strict=True) if w > 0), default=0.0)
     budget = whole if budget is None else budget
-    return [{"source": r["source"], "tokens": r["tokens"], "docs": r["docs"], "share": s, "weight": x, "exponent": exponent,
-             "rate": (1.0 if abs(rate - 1) < 1e-9 else rate) if (rate := x * budget / r["tokens"] if r["tokens"] else 1.0) else 0.0}
-            for r, s, x in zip(rows, shares, w, strict=True)]
+    table = []
+    for r, share, weight in zip(rows, shares, shaped, strict=True):
+        rate = weight * budget / r["tokens"] if r["tokens"] else 1.0
+        rate = float(round(rate)) if abs(rate - round(rate)) < 1e-9 else rate
+        table.append({"source": r["source"], "tokens": r["tokens"], "docs": r["docs"], "share": share, "weight": weight, "exponent": exponent, "rate": rate})
+    return table
 
 
 def _key(seed: int, epoch: Column, doc_id: Column, print_: Column) -> Column:
@@ -118,9 +125,22 @@ def _cuts(narrow: DataFrame, table: list[dict], seed: int) -> list[tuple]:
     return [(s, e, found.get(s, (1 << 63) - 1)) for s, e, _ in part]
 
 
+def _read(rows: DataFrame, narrow: DataFrame, table: list[dict], seed: int) -> DataFrame:
+    """``rows`` (doc_id, source, print and others) once for each epoch that reads them: adds epoch and key."""
+    spark = rows.sparkSession
+    cuts = {s: (e, k) for s, e, k in _cuts(narrow, table, seed)}
+    full = [(r["source"], int(r["rate"]) if r["tokens"] else 1, *(cuts.get(r["source"], (-1, 0)))) for r in table]
+    plan = F.broadcast(spark.createDataFrame(full, "__source string, __full int, __last int, __cut long"))  # at most MAX_SOURCES rows
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("__source")))
+    partly = (F.col("__last") >= 0) & (_key(seed, F.col("__last"), F.col("doc_id"), F.col("__print")) <= F.col("__cut"))
+    epochs = F.col("__full") + F.when(partly, 1).otherwise(0)
+    rows = rows.filter(epochs > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
+    rows = rows.withColumn("__key", _key(seed, F.col("__epoch"), F.col("doc_id"), F.col("__print")))
+    return rows.drop("__source", "__full", "__last", "__cut", "__print")
+
+
 def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repetition: float | None = 4.0, budget: int | None = None, seed: int = 0) -> DataFrame:
-    """Rows of ``docs`` as often as the mixture reads them, with ``__epoch`` (int) and ``__key`` (the place in
-    that epoch's permutation).
+    """Rows of ``docs`` as often as the mixture reads them, columns unchanged; texts are not shuffled.
 
     Without ``budget`` each document is read at least once. With one, larger sources may be read in part: that
     is the mixture's purpose, and the only case in which a document is left out.
@@ -129,42 +149,33 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repetition: fl
     once. Repeated rows stand at the same place and are read alike. Other columns pass through; an empty table
     stays empty.
     """
-    spark = docs.sparkSession
-    table = weights(docs, target_entropy, max_repetition, budget)
-    narrow = docs.select("source", "doc_id", F.xxhash64("text").alias("print"), n_tokens(F.col("text")).alias("n"))
-    cuts = {s: (e, k) for s, e, k in _cuts(narrow, table, seed)}
-    full = [(r["source"], int(r["rate"]) if r["tokens"] else 1, *(cuts.get(r["source"], (-1, 0)))) for r in table]
-    plan = F.broadcast(spark.createDataFrame(full, "__source string, __full int, __last int, __cut long"))  # at most MAX_SOURCES rows
-    rows = docs.join(plan, F.col("source").eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__print", F.xxhash64("text"))
-    partly = (F.col("__last") >= 0) & (_key(seed, F.col("__last"), F.col("doc_id"), F.col("__print")) <= F.col("__cut"))
-    epochs = F.col("__full") + F.when(partly, 1).otherwise(0)
-    rows = rows.filter(epochs > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    rows = rows.withColumn("__key", _key(seed, F.col("__epoch"), F.col("doc_id"), F.col("__print")))
-    return rows.drop("__source", "__full", "__last", "__cut", "__print")
+    narrow = narrowed(docs)
+    table = weights(narrow, target_entropy, max_repetition, budget)
+    return _read(docs.withColumn("__print", F.xxhash64("text")), narrow, table, seed).select(*docs.columns)
 
 
-def schedule(docs: DataFrame, block_tokens: int = 1 << 20, **settings) -> DataFrame:
+def schedule(docs: DataFrame, target_entropy: float | None = 0.95, max_repetition: float | None = 4.0, budget: int | None = None, seed: int = 0,
+             block_tokens: int = 1 << 20) -> DataFrame:
     """The mixture as an order: (doc_id, source, epoch, n_tokens, block, place, weight) for each reading.
 
     The stream is a row of blocks of about ``block_tokens`` tokens. Each source spreads its readings evenly
     over all blocks, so that every block realises the weights; ``place`` orders the readings within a block.
+    Nulls, repeats and empty tables are as for ``mix``.
     """
     spark = docs.sparkSession
-    seed = settings.get("seed", 0)
-    table = weights(docs, **{k: v for k, v in settings.items() if k != "seed"})
-    budget = sum(r["rate"] * r["tokens"] for r in table)
-    blocks = max(1, math.ceil(budget / block_tokens))
-    rows = mix(docs, **settings).select("doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__key").alias("key"), n_tokens(F.col("text")).alias("n_tokens"))
-    rows = save(rows.withColumn("r", _range(F.col("key"))), "mixture")
-    sums = rows.groupBy("source", "epoch", "r").agg(F.sum("n_tokens").alias("n"))
+    narrow = narrowed(docs)
+    table = weights(narrow, target_entropy, max_repetition, budget)
+    blocks = max(1, math.ceil(sum(r["rate"] * r["tokens"] for r in table) / block_tokens))
+    rows = _read(narrow.withColumnRenamed("print", "__print"), narrow, table, seed)
+    rows = save(rows.select("doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__key").alias("key"), "n", _range(F.col("__key")).alias("r")), "mixture")
+    sums = rows.groupBy("source", "epoch", "r").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("source").orderBy("epoch", "r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("r").alias("q"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("source", "epoch", "r").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    placed = rows.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0)))
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("r") == F.col("q")))
-    info = spark.createDataFrame([(r["source"], r["weight"], float(max(1.0, r["rate"] * r["tokens"]))) for r in table], "src string, weight double, quota double")
-    placed = placed.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("src")))
+    quotas = [(r["source"], r["weight"], float(max(1.0, r["rate"] * r["tokens"]))) for r in table]
+    placed = placed.join(F.broadcast(spark.createDataFrame(quotas, "src string, weight double, quota double")), F.col("source").eqNullSafe(F.col("src")))
     block = F.least(F.lit(blocks - 1), F.floor((F.col("before") + F.col("inside")) * blocks / F.col("quota"))).cast("long")
     order = Window.partitionBy("block").orderBy(F.xxhash64("key"), "doc_id", "epoch", "source")
-    return placed.withColumn("block", block).withColumn("place", F.row_number().over(order)).select("doc_id", "source", "epoch", "n_tokens", "block", "place", "weight")
+    return placed.withColumn("block", block).withColumn("place", F.row_number().over(order)).select("doc_id", "source", "epoch", F.col("n").alias("n_tokens"), "block", "place", "weight")
