@@ -44,9 +44,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cold = rows.join(F.broadcast(hot), ["k1", "k2"], "left_anti").repartitionByRange(parts, "k1")
     order = Window.partitionBy("k1", "k2").orderBy(F.col("doc").desc_nulls_last(), "pos")
-    whole = Window.partitionBy("k1", "k2").orderBy(F.col("doc").desc_nulls_last(), "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = cold.withColumn("nth", F.dense_rank().over(order))
-    from_cold = ranked.withColumn("docs", F.last("nth").over(whole)).filter((F.col("docs") >= min_docs) & (F.col("nth") > 1))
+    whole = Window.partitionBy("k1", "k2").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = cold.withColumn("new", F.when(F.lag("doc").over(order).eqNullSafe(F.col("doc")), 0).otherwise(1))
+    ranked = ranked.withColumn("nth", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("docs", F.sum("new").over(whole))
+    from_cold = ranked.filter((F.col("docs") >= min_docs) & (F.col("nth") > 1))
 
     lost = from_hot.select("doc", "print", "pos").unionByName(from_cold.select("doc", "print", "pos"))
     return lost.groupBy("doc", "print").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
