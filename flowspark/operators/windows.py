@@ -52,11 +52,10 @@ def trade_statistics(df: DataFrame, key: str, price: str, volume: str, order: Se
     return df.withColumn("variance", F.sum(p * p * v).over(w) / F.col("volume_total") - F.col("vwap") * F.col("vwap"))
 
 
-def actual_length(df: DataFrame, key: str, ts: str, n: int) -> DataFrame:
-    """Add ``seconds`` between a row and the ``n``-th before it (or the first), per key."""
-    w = Window.partitionBy(key).orderBy(ts)
-    first = F.first(ts).over(w.rowsBetween(-n, 0))
-    return df.withColumn("seconds", F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(first.cast("timestamp")))
+def actual_length(df: DataFrame, key: str, ts: str, n: int, ties: Sequence[str] = ()) -> DataFrame:
+    """Add ``seconds`` between a row and the ``n``-th before it (or the first), per key; rows of equal time by ``ties``."""
+    first = F.first(ts).over(Window.partitionBy(key).orderBy(ts, *ties).rowsBetween(-n, 0))
+    return df.withColumn("seconds", F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(first.cast("timestamp")))
 
 
 def rates(df: DataFrame, ts: str, seconds: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -47,7 +47,8 @@ def in_batches(df: DataFrame, number: Column) -> Stream:
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", files_per_batch: int = 1, **options: str) -> DataFrame:
-    """A folder as a replayable stream: the offset log fixes which files make up which batch."""
+    """A folder, or one file, as a replayable stream: the offset log fixes which files make up which batch."""
+    path = f"{path[:-1]}[{path[-1]}]"  # a pattern that matches the path alone: a plain path must be a folder
     return spark.readStream.schema(schema).options(maxFilesPerTrigger=files_per_batch, **options).format(fmt).load(path)
 
 

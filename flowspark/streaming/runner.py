@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowspark.functions.aggregates import Native
 from flowspark.schema import require
+from flowspark.shared import fresh_path
 from flowspark.state import StateTable
 
 
@@ -56,3 +57,20 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
     on = F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
     near = F.expr(f"b.{right_ts} between a.{left_ts} - interval {within} and a.{left_ts} + interval {within}")
     return a.join(b, on & near, how)
+
+
+def drain(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there, into a table in the shared folder, and return the table. In complete
+    mode the last batch's result stands."""
+    spark = df.sparkSession
+    path, checkpoint = fresh_path(spark, "stream"), fresh_path(spark, "checkpoint")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(path)
+        else:
+            batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(path).select(*df.columns)
