@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from flowspark.llm.common import WHITE, ascii_lower, let, save
 
-#: Of all line rows, the share from which one key counts as hot; so at most 1 / HOT_SHARE keys are hot.
+#: A key is hot from this share of all line rows on, and from this many rows; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 5000
+HOT_ROWS = 1000
 
 
 def line_keys(text: Column) -> Column:
@@ -33,7 +34,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
 
     # Hot keys: few by construction, so they fit a broadcast; their documents are counted by partial aggregation.
     total = rows.count()
-    hot = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(1000, total * HOT_SHARE)).drop("n")
+    hot = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(HOT_ROWS, total * HOT_SHARE)).drop("n")
     hot = save(hot, "hot-lines")
     summary = (rows.join(F.broadcast(hot), ["k1", "k2"]).groupBy("k1", "k2")
                .agg(F.count_distinct(F.coalesce(F.col("doc").cast("string"), F.lit(""))).alias("docs"), F.max("doc").alias("home")))
@@ -60,8 +61,8 @@ def kept_runs(n: Column, drops: Column) -> Column:
     return F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s).alias("length"))), lambda r: r["length"] > 0)
 
 
-def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """Add ``lines``, a struct (n_lines, n_dropped, keep_runs, kept), to each row of ``docs``.
+def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, out: str = "lines") -> DataFrame:
+    """Add ``out``, a struct (n_lines, n_dropped, keep_runs, kept), to each row of ``docs``.
 
     A line's key is the line stripped of white space and A-Z lower-cased. Keys of at least ``min_chars`` code
     points found in at least ``min_docs`` documents lose all lines except those in the largest doc_id that
@@ -69,10 +70,10 @@ def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
 
     Null or empty text is one empty line. All rows with a null doc_id count as one document, smaller than all
     others. Rows that share a doc_id count as one document and are answered one by one; repeated rows get equal
-    answers. A column named ``lines`` is replaced; other columns pass through. An empty table stays empty.
+    answers. A column named ``out`` is replaced; other columns pass through. An empty table stays empty.
     """
     lost = dropped_lines(docs, min_chars, min_docs).withColumnsRenamed({"doc": "__doc", "print": "__print", "drops": "__drops"})
-    base = docs.drop("lines").withColumn("__key", F.xxhash64("text"))
+    base = docs.drop(out).withColumn("__key", F.xxhash64("text"))
     joined = base.join(lost, base["doc_id"].eqNullSafe(lost["__doc"]) & (base["__key"] == lost["__print"]), "left")
 
     def result(lines: Column) -> Column:
@@ -83,9 +84,9 @@ def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
             .otherwise(F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")).alias("kept")))
 
     split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    return joined.withColumn("lines", let(split, result)).drop("__doc", "__print", "__drops", "__key")
+    return joined.withColumn(out, let(split, result)).drop("__doc", "__print", "__drops", "__key")
 
 
 def clean(docs: DataFrame, **rules: int) -> DataFrame:
     """``docs`` with repeated lines taken out of the texts; rows and columns as before."""
-    return dedup(docs, **rules).withColumn("text", F.col("lines.kept")).select(*docs.columns)
+    return dedup(docs, **rules, out="__lines").withColumn("text", F.col("__lines.kept")).select(*docs.columns)

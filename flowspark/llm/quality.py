@@ -70,8 +70,8 @@ def line_passes(line: Column, max_symbol_ratio: float, max_shout_ratio: float) -
     )).otherwise(F.lit(True))
 
 
-def judge(docs: DataFrame, max_loss: float = 0.5, max_symbol_ratio: float = 0.3, max_shout_ratio: float = 0.5) -> DataFrame:
-    """Add ``quality``, a struct of counts, the cleaned text and the verdict, to each row of ``docs``.
+def judge(docs: DataFrame, max_loss: float = 0.5, max_symbol_ratio: float = 0.3, max_shout_ratio: float = 0.5, out: str = "quality") -> DataFrame:
+    """Add ``out``, a struct of counts, the cleaned text and the verdict, to each row of ``docs``.
 
     ``quality`` has n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept
     (boolean), lost_ratio (double: share of non-blank characters on failing lines), n_lines, n_failed_lines
@@ -80,8 +80,8 @@ def judge(docs: DataFrame, max_loss: float = 0.5, max_symbol_ratio: float = 0.3,
     holding more than ``max_loss`` of the characters fail.
 
     Null text counts as empty: 0 words, base_failed, not kept, cleaned ''. Repeated rows are judged alike,
-    one by one. Other columns, a column named ``quality`` excepted (it is replaced), pass through; an empty
-    table stays empty.
+    one by one. Other columns, one named ``out`` excepted (it is replaced), pass through; an empty table stays
+    empty.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
@@ -115,10 +115,10 @@ def judge(docs: DataFrame, max_loss: float = 0.5, max_symbol_ratio: float = 0.3,
                 x["n_lines"].alias("n_lines"), x["n_failed_lines"].alias("n_failed_lines"), x["cleaned"].alias("cleaned"))
         return let(let(lines, line_counts), with_lines)
 
-    return docs.withColumn("quality", let(let(words_of(F.col("text")), counts), verdict))
+    return docs.withColumn(out, let(let(words_of(F.col("text")), counts), verdict))
 
 
 def clean(docs: DataFrame, **rules: float) -> DataFrame:
     """The documents that pass, with failing lines taken out of their text; columns as in ``docs``."""
-    judged = judge(docs, **rules).filter("quality.kept")
-    return judged.withColumn("text", F.col("quality.cleaned")).select(*docs.columns)
+    judged = judge(docs, **rules, out="__quality").filter("__quality.kept")
+    return judged.withColumn("text", F.col("__quality.cleaned")).select(*docs.columns)

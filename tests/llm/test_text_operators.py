@@ -1,0 +1,177 @@
+"""Quality rules, line dedup, PII and language identification against plain Python."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from flowspark.llm import langid, linededup, pii, quality
+from flowspark.llm.queries import fold
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+STRIP = " \t\n\x0b\x0c\r"
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def expected_quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    grams = collections.Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+    covered = {j for i in range(len(words) - 4) if grams[tuple(words[i:i + 5])] > 1 for j in range(i, i + 5)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
+
+
+def test_quality_counts(documents, odd):
+    for df in (documents.select("doc_id", "text"), odd):
+        for r in quality.judge(df).select("text", "quality.*").collect():
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == expected_quality(r.text)
+            assert not (r.base_failed and r.kept)
+
+
+def test_quality_line_rules(spark):
+    prose = "This sentence is ordinary prose, and it has quite a few words in it."
+    menu = "Home | News | Sport | Weather | About | Contact"
+    shout = "BUY NOW!! CHEAP!! GREAT!! DEALS!! TODAY!! ONLY!! HERE!! YES!!"
+    noise = "thre*** of&&& what### is%%% that$$$ then&&& so###"
+    more = "Another line follows with different content for the reader."
+    rows = [(1, f"{prose}\n{more}\n{menu}"), (2, f"{menu}\n{shout}\n{noise}\nshort prose line here"), (3, f"{prose}\nAll rights reserved. Click here.")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "quality.*").collect()}
+    assert got[1].kept and got[1].cleaned == f"{prose}\n{more}" and got[1].n_failed_lines == 1
+    assert not got[2].kept and got[2].n_failed_lines == 3
+    assert got[3].cleaned == prose
+
+
+def test_quality_clean_keeps_columns(odd, empty):
+    out = quality.clean(odd)
+    assert out.columns == odd.columns and {r.quality for r in out.collect()} == {7}
+    assert quality.clean(empty).count() == 0 and quality.judge(empty).count() == 0
+
+
+def test_quality_agrees_with_labels(documents, spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = quality.judge(documents, out="q").join(labels, "doc_id").filter("not q.base_failed").select("q.kept", F.col("quality").alias("label")).collect()
+    assert sum(r.kept == bool(r.label) for r in rows) >= 0.97 * len(rows)
+
+
+def expected_lines(rows):
+    holders = collections.defaultdict(set)
+    for doc_id, text in rows:
+        for line in (text or "").split("\n"):
+            key = line.strip(STRIP).translate(LOWER)
+            if len(key) >= 20:
+                holders[key].add(-1 if doc_id is None else doc_id)
+    out = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        mine = -1 if doc_id is None else doc_id
+        kept = [x for x in lines if len(ids := holders.get(x.strip(STRIP).translate(LOWER), ())) < 3 or max(ids) == mine]
+        out.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def lines_of(df):
+    return sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in linededup.dedup(df).select("doc_id", F.col("lines.*")).collect()), key=str)
+
+
+def test_line_dedup(documents, odd, empty):
+    for df in (documents, odd):
+        assert lines_of(df) == expected_lines([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+    assert lines_of(empty) == []
+
+
+def test_line_dedup_hot_keys_and_repeats(spark, monkeypatch):
+    rng = random.Random(5)
+    shared = [f"shared line number {i} of the collection" for i in range(6)]
+    rows = [(i, "\n".join(rng.choices(shared, k=rng.randint(1, 5)) + [f"own line of document {i}"] + [" \tSHARED line number 1 of the collection "] * (i % 2))) for i in range(60)]
+    rows += [rows[3], (7, "shared line number 0 of the collection"), (None, shared[2]), (None, shared[2] + "\n" + shared[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = expected_lines(rows)
+    assert lines_of(df) == expected
+    monkeypatch.setattr(linededup, "HOT_ROWS", 5)
+    assert lines_of(df) == expected
+
+
+def test_line_dedup_runs_and_clean(odd):
+    for r in linededup.dedup(odd).select("text", "lines.*").collect():
+        lines = (r.text or "").split("\n")
+        assert "\n".join(x for run in r.keep_runs for x in lines[run.start:run.start + run.length]) == r.kept
+    out = linededup.clean(odd)
+    assert out.columns == odd.columns and {r.lines for r in out.collect()} == {"extra"}
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def expected_base(text):
+    digits = lambda s: [int(c) for c in s if c in "0123456789"]
+    def luhn(s):
+        d = digits(s)[::-1]
+        return 16 <= len(d) <= 19 and (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+    return {"email": [m.span() for m in EMAIL.finditer(text)], "ip": [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))],
+            "card": [m.span() for m in CARD.finditer(text) if luhn(m[0])], "phone": [m.span() for m in PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]}
+
+
+def check_pii(text):
+    found = pii.find(text)
+    assert {k: found[k] for k in pii.BASE_KINDS} == expected_base(text), text
+
+
+def test_pii_matches_patterns_on_noise():
+    rng = random.Random(11)
+    for alphabet in ("ab1@.-+_ ", "0123456789.", "0123456789 -", "+0123456789 ().-x", "4111-@.+ a\n٣é"):
+        for _ in range(3000):
+            check_pii("".join(rng.choices(alphabet, k=rng.randint(1, 40))))
+
+
+def test_pii_documents(documents, odd, empty):
+    for df in (documents, odd):
+        texts = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect() if r.doc_id not in (None, 2)}
+        for r in pii.detect(df).filter("doc_id is not null and doc_id <> 2").collect():
+            base = pii.listed(expected_base(texts[r.doc_id]), pii.BASE_KINDS)
+            assert r.base_spans == base and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert pii.detect(empty).count() == 0
+
+
+def test_pii_accounts_and_mask():
+    text = "IBAN: GB82 WEST 1234 5698 7654 32, bad iban GB82 WEST 1234 5698 7654 33. SSN 123-45-6789, not 123-45-6780 elsewhere; a@b.co"
+    found = pii.find(text)
+    assert [text[a:b] for a, b in found["iban"]] == ["GB82 WEST 1234 5698 7654 32"] and [text[a:b] for a, b in found["ssn"]] == ["123-45-6789"]
+    assert "[IBAN]" in pii.mask(text, found) and "[EMAIL]" in pii.mask(text, found) and "a@b.co" not in pii.mask(text, found)
+    assert not any(pii.find("plain words without any of that, 12 of them or 3.5").values())
+
+
+def test_language_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    model = langid.fit(docs, fold(5) != 0)
+    rows = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 100 and sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_edges(odd, empty, documents):
+    model = langid.fit(documents, F.lit(True))
+    got = {(r.doc_id, r.lang_pred == "und", r.rejected) for r in langid.predict(odd, model).collect()}
+    assert {(4, True, True), (5, True, True), (6, True, True), (9, True, True)} <= got and (10, False, False) in {(d, u, False) for d, u, _ in got}
+    assert langid.fit(empty, F.lit(True)) is None and {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
+    assert langid.predict(empty, model).count() == 0
+    assert langid.fit(odd, F.lit(True)) is not None
+
+
+@pytest.mark.parametrize("text", ["", " ", "é", "a" * 100, "Ab\x00c  d"])
+def test_language_vectors_are_finite(text):
+    x = langid.counts([text])
+    assert x.shape == (1, langid.FEATURES) and (x >= 0).all()
