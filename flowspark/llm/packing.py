@@ -8,8 +8,10 @@ piece with the largest dot product of its demands and the room that is left.
 from __future__ import annotations
 
 import math
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from flowspark.llm.common import save, text_bytes
 
 #: Expected number of pieces in a group that is packed together.
-GROUP = 4000
+GROUP = 2000
 _CACHE_ENTRIES = 250_000
 _encoders: dict[str, Callable[[bytes], bytes]] = {}
 
@@ -30,6 +32,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _remember(cache: dict, old: dict, key, value) -> None:
+    """Keep two generations: what was used lately survives, and no more than twice ``_CACHE_ENTRIES`` are held."""
+    if len(cache) >= _CACHE_ENTRIES:
+        old.clear()
+        old.update(cache)
+        cache.clear()
+    cache[key] = value
+
+
 def word_encoder(path: str) -> Callable[[bytes], bytes]:
     """Text to little-endian 32-bit ids, equal to the tokenizer's own encoding without special tokens.
 
@@ -48,32 +59,37 @@ def word_encoder(path: str) -> Callable[[bytes], bytes]:
     with open(path) as f:
         spec = json.load(f)
     split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+    if sys.byteorder != "little" or array("I").itemsize != 4:
+        raise RuntimeError("needs little-endian 32-bit integers")
     special = [t["content"].encode() for t in spec["added_tokens"]]
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(printable)]
     shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
     shown = [shown[b] for b in range(256)]
     plain = regex.compile(r"[\t-\r\x20-\x7e¡-įı-ɏ]*")
-    model, cache, pieces = tokenizer.model, {}, {}
+    model, pieces, old_pieces = tokenizer.model, {}, {}
+    cache, old_cache = {}, {}
 
     def whole(text: str) -> bytes:
         return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece_ids(piece: str) -> bytes:
         if (got := pieces.get(piece)) is None:
-            form = piece if piece.isascii() else "".join([shown[b] for b in piece.encode()])
-            got = np.asarray([t.id for t in model.tokenize(form)], "<u4").tobytes()
-            if len(pieces) >= _CACHE_ENTRIES:
-                pieces.clear()
-            pieces[piece] = got
+            if (got := old_pieces.get(piece)) is None:
+                form = piece if piece.isascii() else "".join([shown[b] for b in piece.encode()])
+                got = array("I", [t.id for t in model.tokenize(form)]).tobytes()
+            _remember(pieces, old_pieces, piece, got)
         return got
 
     def run_ids(run: bytes) -> bytes:
-        text = run.decode()
-        got = b"".join([piece_ids(p) for p in split.findall(text.lower())]) if plain.fullmatch(text) else whole(text)
-        if len(cache) >= _CACHE_ENTRIES:
-            cache.clear()
-        cache[run] = got
+        if (got := old_cache.get(run)) is None:
+            text = run.decode()
+            word, mark = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
+            if word.isalpha() and (word.isascii() or plain.fullmatch(word)):
+                got = piece_ids(word.lower()) + (piece_ids(mark) if mark else b"")
+            else:
+                got = b"".join([piece_ids(p) for p in split.findall(text.lower())]) if plain.fullmatch(text) else whole(text)
+        _remember(cache, old_cache, run, got)
         return got
 
     def encode(text: bytes) -> bytes:
@@ -95,22 +111,21 @@ def pack_vectors(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
     share = demands / limits
     order = np.lexsort((np.arange(len(demands)), *(-share.T[::-1])))
     share, need = share[order], demands[order]
-    bins = np.full(len(demands), -1, np.int64)
-    active = np.arange(len(demands))
-    room, current, empty = limits.astype(np.int64).copy(), 0, True
-    while len(active):
-        fits = (need[active] <= room).all(axis=1)
+    bins, order_left = np.full(len(demands), -1, np.int64), np.arange(len(demands))
+    if (demands > limits).any():
+        raise ValueError("a demand exceeds the limits")
+    full = limits.astype(np.int64)
+    room, current, placed = full.copy(), 0, np.zeros(len(demands), bool)
+    while len(need):
+        fits = (need <= room).all(axis=1) & ~placed
         if not fits.any():
-            if empty:
-                raise ValueError("a demand exceeds the limits")
-            room, current, empty = limits.astype(np.int64).copy(), current + 1, True
+            room, current = full.copy(), current + 1
+            keep = ~placed
+            share, need, order_left, placed = share[keep], need[keep], order_left[keep], placed[keep]
             continue
-        score = np.where(fits, share[active] @ (room / limits), -1.0)
-        best = int(score.argmax())
-        row = active[best]
-        bins[row], empty = current, False
-        room -= need[row]
-        active = np.delete(active, best)
+        best = int(np.where(fits, share @ (room / limits), -1.0).argmax())
+        bins[order_left[best]], placed[best] = current, True
+        room -= need[best]
     out = np.empty_like(bins)
     out[order] = bins
     return out
