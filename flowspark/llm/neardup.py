@@ -2,8 +2,9 @@
 
 Texts with equal shingle sets form one node, so groups of copies cost one row. Nodes that share a band of
 their signatures meet in a bucket. Within a bucket nodes are compared with one leader first (a star, linear
-in the bucket), components are formed, and only pairs whose components still differ are compared afterwards;
-no pair of a bucket is skipped unless a chain of confirmed links already connects it. Each candidate passes
+in the bucket), components are formed, and only pairs whose components still differ are compared afterwards,
+one by one in small buckets and in blocks in large ones, which report connecting links alone; no pair of a bucket
+is skipped unless a chain of confirmed links already connects it. Each listed candidate passes
 batches of signature comparisons as long as the posterior probability of reaching the threshold is at least
 ``miss``; what passes is confirmed on the full shingle sets.
 """
@@ -23,6 +24,10 @@ from flowspark.llm.common import by_bytes, document_words, mix64, save, text_byt
 ROWS = 5
 #: Signature entries compared at a time.
 BATCH = 20
+#: Members of a bucket up to which all its pairs that are still apart are listed.
+SMALL = 16
+#: Nodes in a block of a family.
+BLOCK = 1024
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -205,6 +210,71 @@ def components(links: DataFrame) -> DataFrame:
         edges = save(small.distinct(), "edges")
 
 
+def _family_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different roots among the members of large buckets (key, node, leader, root), exact
+    and complete up to connectivity.
+
+    Buckets that share members form a family, so a group that meets in many bands is treated once. Each member
+    outside the family's largest component is compared with all members. Both sides come in blocks of about
+    ``BLOCK`` nodes; a task counts the common shingles of a block of each by an index over shingles, and reports
+    only links that connect what it has not connected yet: fewer than it has nodes.
+    """
+    families = components(rest.select(F.col("leader").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("family"))
+    rows = rest.select("node", "root").distinct().join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    rows = save(rows, "families")
+    sizes = rows.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("largest"))
+    sizes = sizes.select("family", F.col("largest.root").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("wide"),
+                         F.ceil((F.col("all") - F.col("largest.n")) / BLOCK).cast("int").alias("tall")).filter("tall > 0")
+    table = rows.join(sizes, "family").join(sets, "node")
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["family", "i", "j", "node", "root", "shingles"]
+    few = table.filter("root <> main").withColumn("i", block(F.col("tall"))).withColumn("j", every(F.col("wide"))).select(columns)
+    all_ = table.withColumn("j", block(F.col("wide"))).withColumn("i", every(F.col("tall"))).select(columns)
+
+    def run(left, right):
+        import pyarrow as pa
+
+        found = [_unpack(x.as_py()) for x in right.column("shingles")]
+        sizes, nodes, roots = np.array([len(f) for f in found]), right.column("node").to_pylist(), right.column("root").to_pylist()
+        elements, place = np.unique(np.concatenate(found), return_inverse=True)
+        owners = np.repeat(np.arange(len(found)), sizes)[np.argsort(place, kind="stable")]
+        first = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(elements)))))
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        links = []
+        for node, root, blob in zip(left.column("node_").to_pylist(), left.column("root_").to_pylist(), left.column("shingles_"), strict=True):
+            mine = _unpack(blob.as_py())
+            at = np.searchsorted(elements, mine)
+            at = at[(at < len(elements)) & (elements[np.minimum(at, len(elements) - 1)] == mine)]
+            common = np.zeros(len(found), np.int64)
+            for a in at.tolist():
+                common[owners[first[a]:first[a + 1]]] += 1
+            for k in np.flatnonzero(100 * common >= percent * (len(mine) + sizes - common)).tolist():
+                x, y = top(root), top(roots[k])
+                if x != y:
+                    parent[x] = y
+                    links.append((node, nodes[k]))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    keys = ["family", "i", "j"]
+    few = few.toDF("f", "p", "q", "node_", "root_", "shingles_")  # names of its own: both sides come from one table
+    return few.groupBy("f", "p", "q").cogroup(all_.groupBy(*keys)).applyInArrow(lambda left, right: run(left, right) if len(left) and len(right) else _no_links(), "a long, b long")
+
+
+def _no_links():
+    import pyarrow as pa
+
+    return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+
 def _rooted(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
     found = roots.select(F.col("node").alias(column), F.col("root").alias(name))
     return df.join(found, column, "left").withColumn(name, F.coalesce(name, column))
@@ -239,16 +309,17 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6
     links = save(_confirmed(best, sets, percent), "links")
     roots = components(links)
 
-    # Whatever is still apart within a bucket is compared pair by pair.
-    rooted = save(_rooted(members.select("key", "node"), roots, "node", "root"), "rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    rest = save(rooted.join(apart, "key", "left_semi"), "apart")
-    other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
-    cross = rest.withColumnRenamed("node", "a").join(other, "key").filter("a < b and root <> other").select("a", "b").distinct()
+    # Whatever is still apart within a bucket is compared: small buckets pair by pair, large ones by families.
+    rooted = save(_rooted(members, roots, "node", "root"), "rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n")
+    rest = save(rooted.join(apart, "key"), "apart")
+    small = rest.filter(F.col("n") <= SMALL)
+    other = small.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
+    cross = small.select("key", F.col("node").alias("a"), "root").join(other, "key").filter("a < b and root <> other").select("a", "b").distinct()
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = save(_likely(cross.join(tried, ["a", "b"], "left_anti"), nodes, percent, miss, size), "cross").select("a", "b")
-    more = save(_confirmed(cross, sets, percent), "links")
-    roots = components(links.unionByName(more))
+    more = _confirmed(cross, sets, percent).unionByName(_family_links(rest.filter(F.col("n") > SMALL), sets, percent))
+    roots = components(links.unionByName(save(more, "links")))
 
     placed = _rooted(nodes.select("node", "first_doc"), roots, "node", "root")
     least = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))

@@ -225,8 +225,10 @@ def near_rows():
     return rows + [(len(rows) + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 40)))) for i in range(40)]
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
-def test_groups_equal_brute_force(spark, n, percent):
+@pytest.mark.parametrize(("n", "percent", "small"), [(3, 85, 16), (5, 80, 16), (3, 85, 1), (5, 80, 1)])
+def test_groups_equal_brute_force(spark, monkeypatch, n, percent, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
     rows = near_rows()
     random.Random(1).shuffle(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, percent).collect()}
