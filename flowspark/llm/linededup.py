@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import WHITE, ascii_lower, let, save
+from flowspark.llm.common import WHITE, ascii_lower, fresh, let, save
 
 #: A key is hot from this share of all line rows on, and from this many rows; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 5000
@@ -72,21 +72,23 @@ def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, out: str = "l
     others. Rows that share a doc_id count as one document and are answered one by one; repeated rows get equal
     answers. A column named ``out`` is replaced; other columns pass through. An empty table stays empty.
     """
-    lost = dropped_lines(docs, min_chars, min_docs).withColumnsRenamed({"doc": "__doc", "print": "__print", "drops": "__drops"})
-    base = docs.drop(out).withColumn("__key", F.xxhash64("text"))
-    joined = base.join(lost, base["doc_id"].eqNullSafe(lost["__doc"]) & (base["__key"] == lost["__print"]), "left")
+    doc, print_, drops, key = (fresh(docs, f"lost_{name}") for name in ("doc", "print", "drops", "key"))
+    lost = dropped_lines(docs, min_chars, min_docs).withColumnsRenamed({"doc": doc, "print": print_, "drops": drops})
+    base = docs.drop(out).withColumn(key, F.xxhash64("text"))
+    joined = base.join(lost, base["doc_id"].eqNullSafe(lost[doc]) & (base[key] == lost[print_]), "left")
 
     def result(lines: Column) -> Column:
         none = F.array().cast("array<int>")
-        return let(kept_runs(F.size(lines), F.coalesce(F.col("__drops"), none)), lambda runs: F.struct(
-            F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"), runs.alias("keep_runs"),
-            F.when(F.col("__drops").isNull(), F.coalesce("text", F.lit("")))
+        return let(kept_runs(F.size(lines), F.coalesce(F.col(drops), none)), lambda runs: F.struct(
+            F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(drops), F.lit(0)).cast("long").alias("n_dropped"), runs.alias("keep_runs"),
+            F.when(F.col(drops).isNull(), F.coalesce("text", F.lit("")))
             .otherwise(F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")).alias("kept")))
 
     split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    return joined.withColumn(out, let(split, result)).drop("__doc", "__print", "__drops", "__key")
+    return joined.withColumn(out, let(split, result)).drop(doc, print_, drops, key)
 
 
 def clean(docs: DataFrame, **rules: int) -> DataFrame:
     """``docs`` with repeated lines taken out of the texts; rows and columns as before."""
-    return dedup(docs, **rules, out="__lines").withColumn("text", F.col("__lines.kept")).select(*docs.columns)
+    lines = fresh(docs, "lines")
+    return dedup(docs, **rules, out=lines).withColumn("text", F.col(lines)["kept"]).drop(lines)

@@ -151,7 +151,8 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repetition: fl
     """
     narrow = narrowed(docs)
     table = weights(narrow, target_entropy, max_repetition, budget)
-    return _read(docs.withColumn("__print", F.xxhash64("text")), narrow, table, seed).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.xxhash64("text").alias("__print"))  # no names to clash with
+    return _read(rows, narrow, table, seed).select("row.*")
 
 
 def schedule(docs: DataFrame, target_entropy: float | None = 0.95, max_repetition: float | None = 4.0, budget: int | None = None, seed: int = 0,

@@ -332,5 +332,5 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6
 def drop(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """``docs`` with one document left of each group of near duplicates; of rows that share a doc_id, those whose
     doc_id is kept."""
-    gone = group(docs, words, percent, miss).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = group(docs, words, percent, miss).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

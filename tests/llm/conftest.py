@@ -1,13 +1,13 @@
 import pytest
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, lines string, quality int, n int, key string, x double, print string, node long, block long"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, lines string, quality int, n int, key string, x double, print string, node long, block long, quality_ string, gone long, lost_key long, row string, __print long, __h long, __group long"
 LONG = " ".join(f"word{i % 5000}" for i in range(120_000))
 PROSE = "the quick brown fox jumps over the lazy dog and then it sleeps in the warm sun all day long."
 
 
 def doc(doc_id, text, lang="en", source="s"):
     """A row with columns whose names clash with those that operators use inside."""
-    return (doc_id, text, lang, source, len(text or ""), "extra", 7, 1, "k", 0.5, "p", 3, 4)
+    return (doc_id, text, lang, source, len(text or ""), "extra", 7, 1, "k", 0.5, "p", 3, 4, "q", 5, 6, "r", 7, 8, 9)
 
 
 @pytest.fixture(scope="session")
