@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import WHITE_CLASS, let
+from flowspark.llm.common import WHITE_CLASS, fresh, let
 
 WORDLESS = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -70,20 +70,9 @@ def line_passes(line: Column, max_symbol_ratio: float, max_shout_ratio: float) -
     )).otherwise(F.lit(True))
 
 
-def judge(docs: DataFrame, max_loss: float = 0.5, max_symbol_ratio: float = 0.3, max_shout_ratio: float = 0.5, out: str = "quality") -> DataFrame:
-    """Add ``out``, a struct of counts, the cleaned text and the verdict, to each row of ``docs``.
-
-    ``quality`` has n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept
-    (boolean), lost_ratio (double: share of non-blank characters on failing lines), n_lines, n_failed_lines
-    (long) and cleaned (text: the passing lines joined by a newline). Base rules: fewer than 10 words, or
-    over 20 % of the words in repeated five-word runs. ``kept`` is false if the base rules fail or lines
-    holding more than ``max_loss`` of the characters fail.
-
-    Null text counts as empty: 0 words, base_failed, not kept, cleaned ''. Repeated rows are judged alike,
-    one by one. Other columns, one named ``out`` excepted (it is replaced), pass through; an empty table stays
-    empty.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
+def verdict_of(text: Column, max_loss: float = 0.5, max_symbol_ratio: float = 0.3, max_shout_ratio: float = 0.5) -> Column:
+    """The struct that ``judge`` adds, for one text."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.split(text, "\n", -1)
 
     def counts(words: Column) -> Column:
@@ -115,10 +104,28 @@ def judge(docs: DataFrame, max_loss: float = 0.5, max_symbol_ratio: float = 0.3,
                 x["n_lines"].alias("n_lines"), x["n_failed_lines"].alias("n_failed_lines"), x["cleaned"].alias("cleaned"))
         return let(let(lines, line_counts), with_lines)
 
-    return docs.withColumn(out, let(let(words_of(F.col("text")), counts), verdict))
+    return let(let(words_of(text), counts), verdict)
+
+
+def judge(docs: DataFrame, out: str = "quality", **rules: float) -> DataFrame:
+    """Add ``out``, a struct of counts, the cleaned text and the verdict, to each row of ``docs``.
+
+    ``quality`` has n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept
+    (boolean), lost_ratio (double: share of non-blank characters on failing lines), n_lines, n_failed_lines
+    (long) and cleaned (text: the passing lines joined by a newline). Base rules: fewer than 10 words, or
+    over 20 % of the words in repeated five-word runs. ``kept`` is false if the base rules fail or lines
+    holding more than ``max_loss`` of the characters fail.
+
+    Null text counts as empty: 0 words, base_failed, not kept, cleaned ''. Repeated rows are judged alike,
+    one by one. Other columns, one named ``out`` excepted (it is replaced), pass through; an empty table stays
+    empty.
+    """
+    return docs.withColumn(out, verdict_of(F.col("text"), **rules))
 
 
 def clean(docs: DataFrame, **rules: float) -> DataFrame:
     """The documents that pass, with failing lines taken out of their text; columns as in ``docs``."""
-    judged = judge(docs, **rules, out="__quality").filter("__quality.kept")
-    return judged.withColumn("text", F.col("__quality.cleaned")).select(*docs.columns)
+    # Kept documents come out of a generator: a filter on the verdict would evaluate it again for the text.
+    verdict = fresh(docs, "quality")
+    passed = F.explode(F.filter(F.array(verdict_of(F.col("text"), **rules)), lambda q: q["kept"]))
+    return docs.select("*", passed.alias(verdict)).withColumn("text", F.col(verdict)["cleaned"]).drop(verdict)
