@@ -59,15 +59,19 @@ def line_passes(line: Column, max_symbol_ratio: float, max_shout_ratio: float) -
     line with one of the phrases in ``BOILERPLATE``. Shouting: most letters are capitals in a long line.
     """
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
-    words = F.greatest(count(rf"{WORDLESS}+"), F.lit(1))
     marks = count(r"[#*$%&<>~^=_]+|!{2,}|\?{2,}")
     menus = count(r"(^|\s)[|>»•·](\s|$)")
-    return F.when(F.rlike(line, F.lit(WORDLESS)), ~(
-        ((words >= 4) & (marks > max_symbol_ratio * words))
-        | ((menus >= 3) & (menus * 5 >= words))
-        | ((F.length(line) <= 200) & F.rlike(line, F.lit(BOILERPLATE)))
-        | ((words >= 8) & (count(r"(^|\s)\p{Lu}{2,}") > max_shout_ratio * words))
-    )).otherwise(F.lit(True))
+
+    def fails(words: Column) -> Column:
+        return (
+            ((words >= 4) & (marks > max_symbol_ratio * words))
+            | ((menus >= 3) & (menus * 5 >= words))
+            | ((F.length(line) <= 200) & F.rlike(line, F.lit(BOILERPLATE)))
+            | ((words >= 8) & (count(r"(^|\s)\p{Lu}{2,}") > max_shout_ratio * words))
+        )
+
+    # Words are counted once: inside a lambda nothing shares equal expressions. A line without words is blank.
+    return let(count(rf"{WORDLESS}+"), lambda words: (words == 0) | ~fails(words))
 
 
 def verdict_of(text: Column, max_loss: float = 0.5, max_symbol_ratio: float = 0.3, max_shout_ratio: float = 0.5) -> Column:
