@@ -4,7 +4,8 @@ Anchors are at-signs, plus signs before digits, digits, and identifier cues. Eac
 deterministic parser of its kind that expands to both sides and validates. Kinds in this order:
 
 * email, ip, card, phone: the base kinds, equal to leftmost, non-overlapping pattern matches;
-* iban: two letters and digits with a valid mod-97 checksum, where a bank account cue comes shortly before;
+* iban: two letters and digits with a valid mod-97 checksum, where a bank account cue comes shortly before; it
+  ends with a word, where the country's numbers end or else, from the longest on, where the checksum holds;
 * ssn: three groups of digits (3-2-4, no group of zeros only, area neither 666 nor 9xx) shortly after a cue.
 """
 
@@ -24,13 +25,20 @@ BASE_KINDS = KINDS[:4]
 CUES = {"iban": ("iban",), "ssn": ("ssn", "social security")}
 #: An identifier starts within this many characters after its cue.
 REACH = 24
+#: Fixed values (ISO 13616): letters and digits of an account number, by country.
+IBAN_LENGTHS = {country: length for length, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _QUAD = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}")
+_IBAN_BODY = re.compile(r"(?:\x20?[A-Za-z0-9]){11,30}")
+_WORD_END = re.compile(r"(?<=[A-Za-z0-9])(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9])(?!000|666|9)[0-9]{3}([\x20-])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9])")
 
 _automaton = None
@@ -69,6 +77,34 @@ def _iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _iban_ends(text: str, start: int, limit: int) -> tuple[list[int], list[int]]:
+    """Where valid account numbers whose country and check digits are at ``start`` end, ``limit`` at most: those of
+    the country's length, and others, longest first."""
+    body = _IBAN_BODY.match(text, start + 4)
+    ends = [m.end() for m in _WORD_END.finditer(text, body.start(), body.end() + 1) if m.end() <= min(body.end(), limit)] if body else []
+    lengths = {end: end - start - text.count(" ", start, end) for end in reversed(ends)}
+    valid = [end for end, n in lengths.items() if n >= 15 and _iban_valid(text[start:end])]
+    usual = IBAN_LENGTHS.get(text[start:start + 2].upper())
+    return [end for end in valid if lengths[end] == usual], [end for end in valid if lengths[end] != usual]
+
+
+def _ibans(text: str, start: int, limit: int) -> list[tuple[int, int]]:
+    """Account numbers that start from ``start`` to ``limit``, sorted; those of their country's length come before others."""
+    found: list[tuple[int, int]] = []
+    heads = [m.start() for m in _IBAN_HEAD.finditer(text, start, limit + 4)]
+    for kind in (0, 1):
+        for head in heads:
+            if not any(a <= head < b for a, b in found):
+                ends = _iban_ends(text, head, min((a for a, _ in found if a > head), default=len(text)))[kind]
+                found += [(head, end) for end in ends[:1]]
+    return sorted(found)
+
+
+def _ssns(text: str, start: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Groups of digits of the right form that start from ``start`` to ``limit``, from left to right."""
+    return (m.span() for m in _SSN.finditer(text, start, limit + 12) if m.start() <= limit)
+
+
 def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans (start, end exclusive; code points) of each kind of ``KINDS``, sorted, non-overlapping in a kind."""
     spans: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
@@ -100,10 +136,9 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 if 8 <= len(_digits(m[0])) <= 15:
                     spans["phone"].append(m.span())
         else:
-            pattern, valid = (_IBAN, _iban_valid) if anchor == "iban" else (_SSN, lambda _: True)
-            m = pattern.search(text, last + 1, min(len(text), last + 1 + REACH + 48))
-            if m and m.start() <= last + 1 + REACH and valid(m[0]) and m.start() >= (spans[anchor][-1][1] if spans[anchor] else 0):
-                spans[anchor].append(m.span())
+            span = next(iter((_ibans if anchor == "iban" else _ssns)(text, last + 1, last + 1 + REACH)), None)
+            if span and span[0] >= (spans[anchor][-1][1] if spans[anchor] else 0):
+                spans[anchor].append(span)
     return spans
 
 

@@ -153,6 +153,19 @@ def test_pii_accounts_and_mask():
     assert not any(pii.find("plain words without any of that, 12 of them or 3.5").values())
 
 
+def found_texts(text, kind):
+    return [text[a:b] for a, b in pii.find(text)[kind]]
+
+
+def test_pii_account_number_before_words():
+    for before, number, after in [
+        ("IBAN ", "DE89370400440532013000", " please"), ("IBAN ", "DE89 3704 0044 0532 0130 00", " and my name"), ("IBAN ", "GB82 WEST 1234 5698 7654 32", " today"),
+        ("IBAN ", "FR1420041010050500013M02606", " for rent"), ("iban no AB12 is ", "NO9386011117947", " a b c d e f g h i j k l m n o p q r s t u v"), ("IBAN ", "gb82west12345698765432", ""),
+    ]:
+        assert found_texts(before + number + after, "iban") == [number]
+    assert found_texts("IBAN DE89370400440532013000x and GB82 WEST 1234 5698 7654 33 today", "iban") == []
+
+
 def test_language_accuracy(spark, sf_dir):
     docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
     model = langid.fit(docs, fold(5) != 0)
