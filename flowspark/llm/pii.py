@@ -1,12 +1,14 @@
 """Personal data by anchor expansion: an Aho-Corasick pass finds anchors, local parsers find boundaries.
 
-Anchors are at-signs, plus signs before digits, digits, and identifier cues. Each anchor starts a
+Anchors are at-signs, plus signs before digits, digits, schemes, and identifier cues. Each anchor starts a
 deterministic parser of its kind that expands to both sides and validates. Kinds in this order:
 
 * email, ip, card, phone: the base kinds, equal to leftmost, non-overlapping pattern matches;
 * iban: two letters and digits with a valid mod-97 checksum, where a bank account cue comes shortly before; it
   ends with a word, where the country's numbers end or else, from the longest on, where the checksum holds;
-* ssn: three groups of digits (3-2-4, no group of zeros only, area neither 666 nor 9xx) shortly after a cue.
+* ssn: three groups of digits (3-2-4, no group of zeros only, area neither 666 nor 9xx) shortly after a cue;
+* uri: an address with its scheme: name://, an optional user and password, a host, port and path; mailto: with its
+  addresses; tel:, sms:, fax: and callto: with a number of 6 to 15 digits, plus sign or not.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The kinds in the order of all reports.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "uri")
 BASE_KINDS = KINDS[:4]
 #: Cues (lower case) that announce an identifier, by kind.
 CUES = {"iban": ("iban",), "ssn": ("ssn", "social security")}
+#: Schemes (lower case) without slashes, and whether a number or addresses follow.
+SCHEMES = {"tel:": "number", "sms:": "number", "fax:": "number", "callto:": "number", "mailto:": "addresses"}
 #: An identifier starts within this many characters after its cue.
 REACH = 24
 #: Fixed values (ISO 13616): letters and digits of an account number, by country.
@@ -40,12 +44,22 @@ _IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}")
 _IBAN_BODY = re.compile(r"(?:\x20?[A-Za-z0-9]){11,30}")
 _WORD_END = re.compile(r"(?<=[A-Za-z0-9])(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9])(?!000|666|9)[0-9]{3}([\x20-])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9])")
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*")
+_SCHEME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+_USER = re.compile(r"[A-Za-z0-9._~!$&'()*+,;=:%@-]*@")
+_HOST = re.compile(r"\[[0-9A-Fa-f:.]{2,45}\]|[^\W_](?:[\w-]*\w)?(?:\.[^\W_](?:[\w-]*\w)?)*")
+_PORT = re.compile(r":([0-9]{1,5})(?![0-9])")
+_PATH = re.compile(r"[/?#][\w.~!$&'()*+,;=:@%/?#\[\]-]*")
+_ADDRESSES = re.compile(r"[\w.!$&'*+/=^`{|}~%-]+(?:@|%40)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?:(?:,|%2[Cc])[\w.!$&'*+/=^`{|}~-]+(?:@|%40)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)*")
+_NUMBER = re.compile(r"\x20?\+?(?:\(\x20?)?[0-9](?:[\x20().\/-]{0,2}[0-9])*")
+_NUMBER_END = re.compile(r"(?<=[0-9])(?![0-9])")
+_NUMBER_MORE = re.compile(r"(?:;[A-Za-z-]+=[\w.+%:-]*\w)+")
 
 _automaton = None
 
 
 def automaton():
-    """The anchors: '@', '+', every digit, and the cues in lower and upper case."""
+    """The anchors: '@', '+', every digit, schemes, and the cues in lower and upper case."""
     global _automaton
     if _automaton is None:
         import ahocorasick
@@ -55,6 +69,9 @@ def automaton():
             _automaton.add_word(mark, (mark, 1))
         for digit in "0123456789":
             _automaton.add_word(digit, ("digit", 1))
+        for scheme, kind in {"://": "host", **SCHEMES}.items():
+            for form in {scheme, scheme.upper(), scheme.capitalize()}:
+                _automaton.add_word(form, (kind, len(form)))
         for kind, cues in CUES.items():
             for cue in cues:
                 for form in {cue, cue.upper(), cue.capitalize()}:
@@ -105,6 +122,61 @@ def _ssns(text: str, start: int, limit: int) -> Iterator[tuple[int, int]]:
     return (m.span() for m in _SSN.finditer(text, start, limit + 12) if m.start() <= limit)
 
 
+def _trimmed(text: str, start: int, end: int) -> int:
+    """The end of an address without the sentence's marks: a closing bracket stays if its opening one is inside."""
+    depth = {mark: text.count(mark, start, end) for mark in "()[]"}
+    while end > start and (text[end - 1] in ".,;:!?'*" or text[end - 1] in ")]" and depth[text[end - 1]] > depth["(" if text[end - 1] == ")" else "["]):
+        end -= 1
+        if text[end] in ")]":
+            depth[text[end]] -= 1
+    return end
+
+
+def _host_address(text: str, at: int, least: int) -> tuple[int, int] | None:
+    """The address whose scheme ends before the '://' at ``at``, from ``least`` on."""
+    start = at
+    while start > least and text[start - 1] in _SCHEME_CHARS:
+        start -= 1
+    scheme = _SCHEME.search(text, start, at)
+    user = _USER.match(text, at + 3)
+    host = _HOST.match(text, user.end() if user else at + 3)
+    if scheme is None or host is None or len(host[0]) > 253:
+        return None
+    labels = host[0].split(".")
+    quad = host[0][0] != "[" and all(label.isdecimal() for label in labels)
+    if any(len(label) > 63 for label in labels) or quad and (len(labels) != 4 or any(int(label) > 255 for label in labels)):
+        return None
+    end = host.end()
+    if (port := _PORT.match(text, end)) and int(port[1]) <= 65535:
+        end = port.end()
+    if path := _PATH.match(text, end):
+        end = _trimmed(text, end, path.end())
+    return scheme.start(), end
+
+
+def _plain_address(text: str, start: int, at: int, kind: str) -> tuple[int, int] | None:
+    """The address of a scheme without slashes that begins at ``start`` and ends before ``at``."""
+    if start and text[start - 1].isalnum():
+        return None
+    if kind == "addresses":
+        if (m := _ADDRESSES.match(text, at)) is None:
+            return None
+        more = _PATH.match(text, m.end()) if text[m.end():m.end() + 1] == "?" else None
+        return start, _trimmed(text, m.end(), more.end()) if more else m.end()
+    if (m := _NUMBER.match(text, at)) is None:
+        return None
+    # The number is the first group if that has the length of one, else as many groups as one can have.
+    ends = [(e.end(), len(_digits(text[at:e.end()]))) for e in _NUMBER_END.finditer(text, at, min(m.end(), at + 64) + 1) if e.end() <= m.end()]
+    fitting = [end for end, n in ends if 6 <= n <= 15]
+    space = text.find(" ", at + 1, m.end())
+    first = [end for end, n in ends if 7 <= n <= 15 and end == space]
+    if not fitting:
+        return None
+    end = first[0] if first else fitting[-1]
+    more = _NUMBER_MORE.match(text, end)
+    return start, more.end() if more else end
+
+
 def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans (start, end exclusive; code points) of each kind of ``KINDS``, sorted, non-overlapping in a kind."""
     spans: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
@@ -135,6 +207,12 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 done["phone"] = m.end()
                 if 8 <= len(_digits(m[0])) <= 15:
                     spans["phone"].append(m.span())
+        elif anchor in ("host", "number", "addresses"):
+            start, least = last - width + 1, spans["uri"][-1][1] if spans["uri"] else 0
+            if start >= least:
+                span = _host_address(text, start, least) if anchor == "host" else _plain_address(text, start, last + 1, anchor)
+                if span:
+                    spans["uri"].append(span)
         else:
             span = next(iter((_ibans if anchor == "iban" else _ssns)(text, last + 1, last + 1 + REACH)), None)
             if span and span[0] >= (spans[anchor][-1][1] if spans[anchor] else 0):
@@ -155,17 +233,17 @@ def listed(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
 
 
 def mask(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
-    """``text`` with every span replaced by its kind in brackets; of overlapping spans the first wins."""
+    """``text`` with every span replaced by its kind in brackets; of overlapping spans the first gives the kind, and all are covered."""
     out, at = [], 0
     for start, end, kind in sorted((s, -e, k) for k, found in spans.items() for s, e in found):
         if start >= at:
             out += [text[at:start], f"[{kind.upper()}]"]
-            at = -end
+        at = max(at, -end)
     return "".join(out) + text[at:]
 
 
 def detect(docs: DataFrame, masked: bool = False) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_iban, n_ssn, base_spans, base_sha256, spans[, masked_text]) of
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_iban, n_ssn, n_uri, base_spans, base_sha256, spans[, masked_text]) of
     each row, from its whole text.
 
     Null or empty text has no spans; its masked text is empty. Repeated rows get equal answers; other columns

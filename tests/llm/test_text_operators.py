@@ -166,6 +166,20 @@ def test_pii_account_number_before_words():
     assert found_texts("IBAN DE89370400440532013000x and GB82 WEST 1234 5698 7654 33 today", "iban") == []
 
 
+def test_pii_addresses_with_a_scheme():
+    for before, address, after in [
+        ("see ", "https://jane:p@ss@db.example.com:8443/a_(b)?q=1#c", ". Then"), ("(", "HTTP://example.com/x", ")"), ("<", "ftp://joe@files", ">"), ("", "redis://:secret@10.0.0.7:6379/0", ""),
+        ("at ", "http://[2001:db8::1]/", ","), ("", "https://bücher.de/ü", " x"), ("write to ", "mailto:a.b@c.co,d%40e.org?subject=Hi", "."), ("", "tel:5551234567", " 12 people"), ("", "tel:030 1234567", " x"),
+        ("", "tel:+49-30-1234567", ","), ("", "Tel: (030) 123-4567", "."), ("", "tel:863-1234;phone-context=+1-914-555", "."), ("", "sms:01701234567", ""), ("a ", "git+ssh://git@host.io/r.git", "; b"),
+    ]:
+        text = before + address + after
+        assert found_texts(text, "uri") == [address]
+        assert pii.mask(text, pii.find(text)) == f"{before}[URI]{after}"
+        check_pii(text)
+    assert found_texts("://x http:// http://300.1.1.1/ hotel:5551234567 tel:911 mailto:nobody tel: soon, tel: 1234567890123456", "uri") == []
+    assert found_texts("http://a.b http://c.d/http://e.f", "uri") == ["http://a.b", "http://c.d/http://e.f"]
+
+
 def test_language_accuracy(spark, sf_dir):
     docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
     model = langid.fit(docs, fold(5) != 0)
