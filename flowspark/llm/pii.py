@@ -4,9 +4,10 @@ Anchors are at-signs, plus signs before digits, digits, schemes, and identifier
 deterministic parser of its kind that expands to both sides and validates. Kinds in this order:
 
 * email, ip, card, phone: the base kinds, equal to leftmost, non-overlapping pattern matches;
-* iban: two letters and digits with a valid mod-97 checksum, where a bank account cue comes shortly before; it
+* iban: two letters and digits with a valid mod-97 checksum, where a bank account cue comes before (see REACH); it
   ends with a word, where the country's numbers end or else, from the longest on, where the checksum holds;
-* ssn: three groups of digits (3-2-4, no group of zeros only, area neither 666 nor 9xx) shortly after a cue;
+* ssn: three groups of digits (3-2-4, no group of zeros only, area neither 666 nor 9xx) after a cue; of several
+  after one cue, those right after "not" are left out, but never the first;
 * uri: an address with its scheme: name://, an optional user and password, a host, port and path; mailto: with its
   addresses; tel:, sms:, fax: and callto: with a number of 6 to 15 digits, plus sign or not.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -27,8 +29,8 @@ BASE_KINDS = KINDS[:4]
 CUES = {"iban": ("iban",), "ssn": ("ssn", "social security")}
 #: Schemes (lower case) without slashes, and whether a number or addresses follow.
 SCHEMES = {"tel:": "number", "sms:": "number", "fax:": "number", "callto:": "number", "mailto:": "addresses"}
-#: An identifier starts within this many characters after its cue.
-REACH = 24
+#: An identifier starts on the line of its cue, or within this many characters after the cue.
+REACH = 64
 #: Fixed values (ISO 13616): letters and digits of an account number, by country.
 IBAN_LENGTHS = {country: length for length, countries in {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
@@ -44,6 +46,8 @@ _IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}")
 _IBAN_BODY = re.compile(r"(?:\x20?[A-Za-z0-9]){11,30}")
 _WORD_END = re.compile(r"(?<=[A-Za-z0-9])(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9])(?!000|666|9)[0-9]{3}([\x20-])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9])")
+_SSN_CUE = re.compile("|".join(CUES["ssn"]), re.IGNORECASE | re.ASCII)
+_NOT = re.compile(r"(?:\bnot|n't)\x20+$", re.IGNORECASE | re.ASCII)
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*")
 _SCHEME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _USER = re.compile(r"[A-Za-z0-9._~!$&'()*+,;=:%@-]*@")
@@ -59,7 +63,7 @@ _automaton = None
 
 
 def automaton():
-    """The anchors: '@', '+', every digit, schemes, and the cues in lower and upper case."""
+    """The anchors: '@', '+', every digit, schemes and cues, for text with A to Z in lower case."""
     global _automaton
     if _automaton is None:
         import ahocorasick
@@ -70,12 +74,10 @@ def automaton():
         for digit in "0123456789":
             _automaton.add_word(digit, ("digit", 1))
         for scheme, kind in {"://": "host", **SCHEMES}.items():
-            for form in {scheme, scheme.upper(), scheme.capitalize()}:
-                _automaton.add_word(form, (kind, len(form)))
+            _automaton.add_word(scheme, (kind, len(scheme)))
         for kind, cues in CUES.items():
             for cue in cues:
-                for form in {cue, cue.upper(), cue.capitalize()}:
-                    _automaton.add_word(form, (kind, len(form)))
+                _automaton.add_word(cue, (kind, len(cue)))
         _automaton.make_automaton()
     return _automaton
 
@@ -107,19 +109,30 @@ def _iban_ends(text: str, start: int, limit: int) -> tuple[list[int], list[int]]
 
 def _ibans(text: str, start: int, limit: int) -> list[tuple[int, int]]:
     """Account numbers that start from ``start`` to ``limit``, sorted; those of their country's length come before others."""
-    found: list[tuple[int, int]] = []
     heads = [m.start() for m in _IBAN_HEAD.finditer(text, start, limit + 4)]
-    for kind in (0, 1):
-        for head in heads:
-            if not any(a <= head < b for a, b in found):
-                ends = _iban_ends(text, head, min((a for a, _ in found if a > head), default=len(text)))[kind]
-                found += [(head, end) for end in ends[:1]]
-    return sorted(found)
-
-
-def _ssns(text: str, start: int, limit: int) -> Iterator[tuple[int, int]]:
-    """Groups of digits of the right form that start from ``start`` to ``limit``, from left to right."""
-    return (m.span() for m in _SSN.finditer(text, start, limit + 12) if m.start() <= limit)
+    usual: list[tuple[int, int]] = []
+    others: list[tuple[int, int]] = []
+    for head in heads:
+        if (not usual or head >= usual[-1][1]) and (ends := _iban_ends(text, head, len(text))[0]):
+            usual.append((head, ends[0]))
+    for head in heads:
+        i = bisect_right(usual, (head, len(text)))
+        if (not i or head >= usual[i - 1][1]) and (not others or head >= others[-1][1]):
+            ends = _iban_ends(text, head, usual[i][0] if i < len(usual) else len(text))[1]
+            others += [(head, end) for end in ends[:1]]
+    return sorted(usual + others)
+
+
+def _ssns(text: str, start: int, limit: int) -> list[tuple[int, int]]:
+    """Groups of digits of the right form that start from ``start`` to ``limit``, sorted, without those that are
+    said not to be one after another number, with no cue between."""
+    found, before = [], None
+    for m in _SSN.finditer(text, start, limit + 12):
+        if m.start() <= limit:
+            if before is None or not _NOT.search(text[max(before, m.start() - 12):m.start()]) or _SSN_CUE.search(text, before, m.start()):
+                found.append(m.span())
+            before = m.end()
+    return found
 
 
 def _trimmed(text: str, start: int, end: int) -> int:
@@ -181,7 +194,9 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans (start, end exclusive; code points) of each kind of ``KINDS``, sorted, non-overlapping in a kind."""
     spans: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     done = dict.fromkeys(("email", "ip", "card", "phone", "run"), 0)
-    for last, (anchor, width) in automaton().iter(text):
+    reached, line_end = dict.fromkeys(CUES, 0), -1
+    # Only A to Z change, so that all offsets stay.
+    for last, (anchor, width) in automaton().iter(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")):
         if anchor == "digit":
             if last >= done["ip"] and (m := _QUAD.match(text, last)):
                 # Matches start at the head of a digit run: the anchors come from the left.
@@ -214,9 +229,14 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 if span:
                     spans["uri"].append(span)
         else:
-            span = next(iter((_ibans if anchor == "iban" else _ssns)(text, last + 1, last + 1 + REACH)), None)
-            if span and span[0] >= (spans[anchor][-1][1] if spans[anchor] else 0):
-                spans[anchor].append(span)
+            if last > line_end:
+                line_end = text.find("\n", last)
+                line_end = len(text) if line_end < 0 else line_end
+            limit = min(len(text), max(line_end, last + 1 + REACH))
+            start = max(last + 1, reached[anchor])
+            if start <= limit:
+                spans[anchor] += (_ibans if anchor == "iban" else _ssns)(text, start, limit)
+                reached[anchor] = max(limit + 1, spans[anchor][-1][1] if spans[anchor] else 0)
     return spans
 
 

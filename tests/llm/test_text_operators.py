@@ -180,6 +180,17 @@ def test_pii_addresses_with_a_scheme():
     assert found_texts("http://a.b http://c.d/http://e.f", "uri") == ["http://a.b", "http://c.d/http://e.f"]
 
 
+def test_pii_cues_in_any_case_reach_and_lists():
+    for text in ("Social Security number: 123-45-6789", "sSn\n123-45-6789", "\u0130 SOCIAL security number of the applicant is 123-45-6789", "ssn " + "of the said applicant " * 20 + "123-45-6789"):
+        assert found_texts(text, "ssn") == ["123-45-6789"]
+    assert found_texts("SSNs: 123-45-6789, 234-56-7890 and of the spouse 345 67 8901\n" + "x" * 70 + " 456-78-9012", "ssn") == ["123-45-6789", "234-56-7890", "345 67 8901"]
+    assert found_texts("ssn 123-45-6789, not 123-45-6780; the other ssn is not 234-56-7890", "ssn") == ["123-45-6789", "234-56-7890"]
+    numbers = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"]
+    assert found_texts("my iBANs are DE00 then " + " and ".join(numbers) + " as iban", "iban") == numbers
+    assert found_texts("IBAN " + ", ".join(numbers * 2000) + "\n", "iban") == numbers * 2000
+    assert found_texts("MAILto:a@b.co or HtTpS://c.de", "uri") == ["MAILto:a@b.co", "HtTpS://c.de"]
+
+
 def test_language_accuracy(spark, sf_dir):
     docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
     model = langid.fit(docs, fold(5) != 0)
