@@ -257,6 +257,31 @@ def join_full(spark, d):
     return _sided(spark, d, [OUTER, OUTER])
 
 
+def _sided_whole(spark, d, types):
+    """All rows: odd customers get keys that no order has, every third customer's orders get a null key."""
+    customers = read(spark, d, "customer").each(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")), "ck").project("ck", "c_name")
+    orders = read(spark, d, "orders").each(F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")), "ok").project("ok", "o_orderkey")
+    return join([(customers, ["ck"]), (orders, ["ok"])], ["k", "c_name", "o_orderkey"], types).df
+
+
+SIDED_WHOLE = "select coalesce(ck, ok) k, c_name, o_orderkey from (select case when c_custkey % 2 = 0 then c_custkey else -c_custkey end ck, c_name from customer) {how} join (select case when o_custkey % 3 <> 0 then o_custkey end ok, o_orderkey from orders) on ck = ok"
+
+
+@registered(SIDED_WHOLE.format(how="left"))
+def join_left_whole(spark, d):
+    return _sided_whole(spark, d, [INNER, OUTER])
+
+
+@registered(SIDED_WHOLE.format(how="right"))
+def join_right_whole(spark, d):
+    return _sided_whole(spark, d, [OUTER, INNER])
+
+
+@registered(SIDED_WHOLE.format(how="full"))
+def join_full_whole(spark, d):
+    return _sided_whole(spark, d, [OUTER, OUTER])
+
+
 @registered("select n_nationkey k, c_custkey, n_name, s_suppkey from customer join nation on c_nationkey = n_nationkey join supplier on s_nationkey = n_nationkey")
 def join_three_way(spark, d):
     sides = [(read(spark, d, "customer").project("c_nationkey", "c_custkey"), ["c_nationkey"]), (read(spark, d, "nation").project("n_nationkey", "n_name"), ["n_nationkey"]),
@@ -276,6 +301,17 @@ def join_mixed(spark, d):
     return join(sides, ["k", "n_name", "s_suppkey", "c_custkey"], [OUTER, OUTER, INNER]).df
 
 
+@registered("""select c_nationkey k, n_name, s_suppkey, c_custkey from customer
+    left join (select case when n_nationkey % 2 = 0 then n_nationkey else -n_nationkey end nk, n_name from nation) on nk = c_nationkey
+    left join (select case when s_nationkey % 3 = 0 then s_nationkey else -s_nationkey end sk, s_suppkey from supplier) on sk = c_nationkey""")
+def join_mixed_whole(spark, d):
+    moved = lambda key, n: F.when(F.col(key) % n == 0, F.col(key)).otherwise(-F.col(key))
+    sides = [(read(spark, d, "nation").each(moved("n_nationkey", 2), "nk").project("nk", "n_name"), ["nk"]),
+             (read(spark, d, "supplier").each(moved("s_nationkey", 3), "sk").project("sk", "s_suppkey"), ["sk"]),
+             (read(spark, d, "customer").project("c_nationkey", "c_custkey"), ["c_nationkey"])]
+    return join(sides, ["k", "n_name", "s_suppkey", "c_custkey"], [OUTER, OUTER, INNER]).df
+
+
 @registered("select a.k, a.n_nationkey x, b.n_nationkey y from (select nullif(n_regionkey, 0) k, * from nation) a join (select nullif(n_regionkey, 0) k, * from nation) b on a.k is not distinct from b.k")
 def join_null_keys(spark, d):
     s = read(spark, d, "nation").each(F.when(F.col("n_regionkey") != 0, F.col("n_regionkey")), "k").project("k", "n_nationkey")
@@ -445,6 +481,15 @@ def non_transactional_replay(spark, d):
     return state.snapshot()
 
 
+@registered("select user_id, (count(*) + count(*) filter (where event_id % 2 = 0))::bigint n from events group by 1")
+def non_transactional_replay_whole(spark, d):
+    state, even, odd = _counts(spark, d, NON_TRANSACTIONAL, "plain_whole")
+    _update(state, even, 1)
+    _update(state, even, 1)
+    _update(state, odd, 2)
+    return state.snapshot()
+
+
 @registered("select user_id, count(*) n from events where user_id % 3 <> 0 group by 1")
 def state_remove(spark, d):
     state, even, odd = _counts(spark, d, TRANSACTIONAL, "remove")
@@ -460,10 +505,21 @@ def state_json(spark, d):
     return state.as_json()
 
 
+@registered("""with c as (select user_id, count(*) n, count(*) filter (where event_id % 2 = 0) a from events group by 1)
+    select user_id, case when n = a then '[1,' || n || ',null]' else '[2,' || n || ',' || case when a > 0 then a::varchar else 'null' end || ']' end json from c""")
+def state_json_whole(spark, d):
+    state, even, odd = _counts(spark, d, OPAQUE, "json_whole")
+    _update(state, even, 1)
+    _update(state, odd, 2)
+    return state.as_json()
+
+
 @registered("select o_orderkey, c_name name from orders left join (select * from customer where c_custkey % 2 = 0) on o_custkey = c_custkey")
 def map_get(spark, d):
     state = StateTable(spark, fresh_path(spark, "names"), "c_custkey long", "c_name string")
-    state.put(tables.table(spark, d, "customer").filter("c_custkey % 2 = 0").select("c_custkey", "c_name"), 1)
+    # All customers are put; the odd ones under keys that no order asks for.
+    key = F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey"))
+    state.put(tables.table(spark, d, "customer").select(key.alias("c_custkey"), "c_name"), 1)
     orders = tables.table(spark, d, "orders").select("o_orderkey", "o_custkey")
     return query.map_get(orders, state.snapshot(), [("o_custkey", "c_custkey")], "c_name", "name").select("o_orderkey", "name")
 

@@ -168,3 +168,27 @@ def test_validators(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("b", 7, 1), ("b", 8, 2), ("b", 10, 3)], "k string, v long, seq int")
     assert {r["k"]: r["xor"] for r in validators.xor_check(df, "k", "v").collect()}["a"] == 0
     assert [(r["k"], r["v"]) for r in validators.gaps(df, "k", "v", "seq").collect()] == [("a", 1), ("b", 10)]
+
+
+def test_queries_over_whole_tables(spark, sf_dir, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    from flowspark import queries
+    from flowspark.state import StateTable
+
+    db = duckdb.connect()
+    for name in ("orders", "customer", "nation", "supplier", "events"):
+        db.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+    rows = {name: db.execute(f"select count(*) from {name}").fetchone()[0] for name in ("orders", "customer", "events")}
+    put, sizes = StateTable.put, []
+    monkeypatch.setattr(StateTable, "put", lambda self, df, *a: (sizes.append(df.count()), put(self, df, *a))[1])
+    found = {}
+    for name in ("join_left_whole", "join_right_whole", "join_full_whole", "join_mixed_whole", "non_transactional_replay_whole", "state_json_whole", "map_get"):
+        sizes.clear()
+        df = queries.QUERIES[name](spark, sf_dir)
+        found[name] = df.collect()
+        assert Counter(map(tuple, found[name])) == Counter(db.execute(queries.ORACLE_SQL[name]).fetchall()), name
+        assert df.columns == [c[0] for c in db.description], name
+    assert sizes == [rows["customer"]]
+    assert len({r.o_orderkey for r in found["join_full_whole"]} - {None}) == rows["orders"] and len({r.c_name for r in found["join_full_whole"]} - {None}) == rows["customer"]
+    assert len({r.c_custkey for r in found["join_mixed_whole"]}) == rows["customer"]
+    assert sum(r.n for r in found["non_transactional_replay_whole"]) == rows["events"] + db.execute("select count(*) from events where event_id % 2 = 0").fetchone()[0]
