@@ -1,8 +1,8 @@
 """Language identification by nearest centroid over normalised TF-IDF character n-grams.
 
 Features are hashed byte n-grams (one to three bytes) of the lower-cased text with everything but letters
-folded to one space. A bounded sample of labelled documents gives the inverse document frequencies and,
-by spherical k-means, several centroids per language. Every whole text is then compared by cosine; a text
+folded to one space. All labelled documents give the inverse document frequencies; a bounded sample of
+them gives, by spherical k-means, several centroids per language. Every whole text is then compared by cosine; a text
 too far from its nearest centroid is flagged as rejected.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from flowspark.llm.common import by_bytes
 
-#: Documented bounds of the fit: labelled documents per language, and languages.
+#: Documented bounds of the fit: labelled documents per language for the centroids, and languages.
 SAMPLE = 400
 MAX_LANGUAGES = 400
 #: Fixed value: hashed features.
@@ -73,10 +73,31 @@ def cluster(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     return centroids
 
 
+def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of rows of ``texts`` (column text, not null) and, by feature, of those that have it."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(FEATURES + 1, np.int64)
+        for batch in batches:
+            rows = batch.column("text").to_pylist()
+            for at in range(0, len(rows), 512):
+                total[:FEATURES] += (counts(rows[at:at + 512]) > 0).sum(axis=0)
+            total[FEATURES] += len(rows)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["feature", "n"])
+
+    total = np.zeros(FEATURES + 1, np.int64)
+    for r in texts.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # at most FEATURES + 1 rows
+        total[r["feature"]] = r["n"]
+    return int(total[FEATURES]), total[:FEATURES]
+
+
 def fit(docs: DataFrame, learn, per_language: int = SAMPLE, clusters: int = 4) -> dict | None:
-    """Centroids from at most ``per_language`` documents (lowest hash first) of each language for which
-    ``learn`` holds; None if there is nothing to learn from."""
-    usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("__h", F.xxhash64("doc_id"))
+    """Document frequencies from all documents with a language and a letter for which ``learn`` holds, and
+    centroids from at most ``per_language`` of them (lowest hash first) of each language; None if there is
+    nothing to learn from."""
+    usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("__h", F.xxhash64("doc_id"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("__h"))
     narrow = usable.select("lang", "__h").withColumn("rank", rank).filter(F.col("rank") <= per_language)
     edges = narrow.groupBy("lang").agg(F.max("__h").alias("edge"), F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
@@ -104,8 +125,8 @@ def fit(docs: DataFrame, learn, per_language: int = SAMPLE, clusters: int = 4) -
         if len(kept) < per_language:
             kept.append((r["h"], bytes(r["v"])))
     rows = {lang: np.stack([np.frombuffer(v, np.float16).astype(np.float32) for _, v in sorted(kept)]) for lang, kept in sorted(per_lang.items())}
-    everything = np.concatenate(list(rows.values()))
-    idf = np.log((1 + len(everything)) / (1 + (everything > 0).sum(axis=0))).astype(np.float32) + 0.1
+    n, frequencies = document_frequencies(usable)
+    idf = np.log((1 + n) / (1 + frequencies)).astype(np.float32) + 0.1
     names, centroids = [], []
     for lang, x in rows.items():
         x = unit(x * idf)

@@ -191,6 +191,18 @@ def test_pii_cues_in_any_case_reach_and_lists():
     assert found_texts("MAILto:a@b.co or HtTpS://c.de", "uri") == ["MAILto:a@b.co", "HtTpS://c.de"]
 
 
+def test_language_frequencies_cover_all_documents(spark):
+    import numpy as np
+
+    rows = [(i, f"the quick brown fox jumps {'zebra' if i % 3 else 'quartz'} {i}", "en") for i in range(40)] + [(100 + i, f"der schnelle fuchs {i}", "de") for i in range(30)]
+    rows += [(1000 + i, "12345 !!! →", "de") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.fit(df, F.lit(True), per_language=5)
+    present = np.stack([langid.counts([text])[0] > 0 for _, text, _ in rows[:70]]).sum(axis=0)
+    assert np.allclose(model["idf"], np.log(71 / (1 + present)) + 0.1, atol=1e-5)
+    assert set(model["names"]) == {"de", "en"}
+
+
 def test_language_accuracy(spark, sf_dir):
     docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
     model = langid.fit(docs, fold(5) != 0)
