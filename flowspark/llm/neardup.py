@@ -102,10 +102,11 @@ def _signatures(docs: DataFrame, words: int, size: int) -> DataFrame:
                         counts.append(len(found))
                         nodes.append(identity(found) if len(found) else None)
                         signatures.append(signature(found, a, b) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())],
-                                             names=["doc_id", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())],
+                                             names=["doc_id", "text_hash", "n_shingles", "node", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, sig binary")
 
 
 def _pack(found: np.ndarray) -> bytes:
@@ -292,6 +293,11 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6
     component and is kept. Rows that share a doc_id are answered one by one; equal rows get equal answers (both
     are ``kept`` if one is). Other columns are left out; an empty table gives no rows.
     """
+    return _grouped(docs, words, percent, miss).drop("text_hash")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
+    """The columns of ``group`` and text_hash, a 64-bit hash of the row's text."""
     size = band_count(percent, miss) * ROWS
     sigs = save(_signatures(docs, words, size), "signatures")
     nodes = save(sigs.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("sig").alias("sig")), "nodes")
@@ -324,13 +330,13 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6
     placed = _rooted(nodes.select("node", "first_doc"), roots, "node", "root")
     least = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     answer = save(placed.join(least, "root").select("node", "component_id"), "answer")
-    out = sigs.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(answer, "node", "left")
+    out = sigs.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(answer, "node", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """``docs`` with one document left of each group of near duplicates; of rows that share a doc_id, those whose
-    doc_id is kept."""
-    gone = group(docs, words, percent, miss).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """``docs`` with one document left of each group of near duplicates; rows that share a doc_id but not the text
+    stay or go one by one."""
+    gone = _grouped(docs, words, percent, miss).filter("not kept").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_hash")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["gone"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"]), "left_anti")

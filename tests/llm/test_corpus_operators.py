@@ -400,3 +400,9 @@ def test_pipeline_stages(spark, sf_dir, documents):
             assert set(ids) == {r.doc_id for r in before} and max(lengths.values()) <= 4096
         docs = spark.createDataFrame(after, out.schema) if after else out
     assert corpus_pipeline.run(spark, sf_dir).count() == len(after)
+
+
+def test_near_dup_drop_keeps_other_text_of_a_shared_id(spark):
+    text, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (2, text), (2, other), (3, text)], "doc_id long, text string")
+    assert sorted(map(tuple, neardup.drop(df).collect())) == [(1, text), (2, other)]
