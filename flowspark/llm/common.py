@@ -42,14 +42,29 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table, deleted when the JVM ends at the latest."""
+    path = f"{scratch_root(spark)}/flowspark/{name}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
 def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a scratch table and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/flowspark/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that ``save`` made and that no result needs any more."""
+    for table in tables:
+        jpath = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        jpath.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def let(value: Column, body) -> Column:

@@ -406,3 +406,45 @@ def test_near_dup_drop_keeps_other_text_of_a_shared_id(spark):
     text, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     df = spark.createDataFrame([(1, text), (2, text), (2, other), (3, text)], "doc_id long, text string")
     assert sorted(map(tuple, neardup.drop(df).collect())) == [(1, text), (2, other)]
+
+
+# Search: any size of components, repeated ids
+
+def brute_items(rows, k, every):
+    """Scores of ids are the highest over their vectors, and 64-bit numbers."""
+    clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    whole = lambda x: math.floor(x * 256) if abs(x) < 2.0**52 else 256 * int(x)
+    by_id = collections.defaultdict(list)
+    for i, v in rows:
+        by_id[i].append([whole(x) for x in v])
+    out = set()
+    for q in by_id:
+        if q % every == 0:
+            scored = sorted((-max(clamp(sum(map(int.__mul__, a, b))) for a in by_id[q] for b in by_id[i]), i) for i in by_id if i != q)[:k]
+            out |= {(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)}
+    return out
+
+
+def test_search_large_components(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [100000.0]), (2, [70000.0]), (3, [65536.0])], "vec_id long, embedding array<double>")
+    assert found(df, 50) == {(0, 1, 1, 6553600000), (0, 2, 2, 4587520000), (0, 3, 3, 4294967296)}
+    rng = np.random.default_rng(5)
+    for scale in (1e5, 1e9, 1e30, 1e200):
+        rows = [(i, (rng.normal(0, 1, 5) * scale ** rng.random(5)).tolist()) for i in range(120)] + [(200 + i, [0.25] * 5) for i in range(9)]
+        assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), 10) == brute_items(rows, 5, 10), scale
+
+
+def test_search_far_outliers_among_ordinary_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(800)] + [(1000, [1e6] + [0.1] * 7), (1001, [-3e5] * 8), (1050, [0.0] * 7 + [2e4])]
+    assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), 50) == brute_items(rows, 5, 50)
+
+
+def test_search_repeated_ids(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0])] * 7 + [(1, [1.0]), (2, [1.0]), (3, [0.5])]
+    assert found(spark.createDataFrame(rows, schema).repartition(3), 50) == {(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 3, 32768)}
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(0, 1, 4).tolist()) for i in range(60)]
+    rows += [(i, (3 * rng.normal(0, 1, 4)).tolist()) for i in (0, 0, 10, 7, 7, 7) for _ in range(15)] + rows[:20] + [(20, rows[5][1]), (21, rows[5][1])]
+    assert found(spark.createDataFrame(rows, schema).repartition(3), 10) == brute_items(rows, 5, 10)
