@@ -4,21 +4,27 @@ Features are hashed byte n-grams (one to three bytes) of the lower-cased text wi
 folded to one space. All labelled documents give the inverse document frequencies; a bounded sample of
 them gives, by spherical k-means, several centroids per language. Every whole text is then compared by cosine; a text
 too far from its nearest centroid is flagged as rejected.
+
+Languages may be many: each is clustered in a task of its own, and centroids are broadcast in groups of languages.
+With one group, rows are answered where they are read; with more, a text's best answers of all groups are merged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import by_bytes
+from flowspark.llm.common import by_bytes, save
 
-#: Documented bounds of the fit: labelled documents per language for the centroids, and languages.
+#: Documented bound of the fit: labelled documents per language for the centroids.
 SAMPLE = 400
-MAX_LANGUAGES = 400
+#: Languages whose centroids are broadcast together (64 KB each).
+GROUP = 400
 #: Fixed value: hashed features.
 FEATURES = 1 << 12
 
@@ -93,95 +99,136 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(total[FEATURES]), total[:FEATURES]
 
 
-def fit(docs: DataFrame, learn, per_language: int = SAMPLE, clusters: int = 4) -> dict | None:
-    """Document frequencies from all documents with a language and a letter for which ``learn`` holds, and
-    centroids from at most ``per_language`` of them (lowest hash first) of each language; None if there is
-    nothing to learn from."""
-    usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("__h", F.xxhash64("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__h"))
-    narrow = usable.select("lang", "__h").withColumn("rank", rank).filter(F.col("rank") <= per_language)
-    edges = narrow.groupBy("lang").agg(F.max("__h").alias("edge"), F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(edges) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not edges:
+@dataclass(frozen=True)
+class Model:
+    """Inverse document frequencies of the features, and the centroids as a table (lang, part, centroid)."""
+
+    idf: np.ndarray
+    centroids: DataFrame
+    languages: int
+
+    def groups(self) -> Iterator[tuple[list[str], np.ndarray]]:
+        """The languages in groups of about ``GROUP``: the language of each centroid, in order, and the centroids."""
+        n = math.ceil(self.languages / GROUP)
+        for g in range(n):
+            rows = self.centroids.filter(F.pmod(F.xxhash64("lang"), F.lit(n)) == g).orderBy("lang", "part").collect()  # about GROUP languages
+            if rows:
+                yield [r["lang"] for r in rows], np.stack([np.frombuffer(r["centroid"], np.float32) for r in rows])
+
+
+def fit(docs: DataFrame, learn: Column, per_language: int = SAMPLE, clusters: int = 4) -> Model | None:
+    """A model of ``docs`` (doc_id, text, lang): document frequencies from all rows with a language and a letter for
+    which ``learn`` holds, and up to ``clusters`` centroids of each language from ``per_language`` of them at most, those
+    with the lowest hashes of doc_id and text.
+
+    Null texts, texts without a letter, null languages and rows for which ``learn`` is null take no part. Repeated
+    rows count for the frequencies one by one, and once for the centroids. Other columns are left out, whatever their
+    names. None if there is nothing to learn from.
+    """
+    ready = docs.filter(F.coalesce(learn, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = ready.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "text")
+    n, frequencies = document_frequencies(usable)
+    if not n:
         return None
-    table = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["edge"]) for r in edges], "__lang string, __edge long"))
+    idf = np.log((1 + n) / (1 + frequencies)).astype(np.float32) + 0.1
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    keys = save(usable.select("lang", "h", "t").distinct().withColumn("rank", rank).filter(F.col("rank") <= per_language).drop("rank"), "lang-sample")
 
     def vectors(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
             for part in by_bytes(texts, 1 << 22):
-                x = counts(texts[part])
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(part.start, part.stop - part.start), batch.column("h").slice(part.start, part.stop - part.start),
-                                                  pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "h", "v"])
-
-    chosen = usable.join(table, (F.col("lang") == F.col("__lang")) & (F.col("__h") <= F.col("__edge"))).select("lang", F.col("__h").alias("h"), "text")
-    sample = chosen.mapInArrow(vectors, "lang string, h long, v binary")
-    per_lang: dict[str, list[tuple[int, bytes]]] = {}
-    for r in sample.toLocalIterator():  # at most per_language rows a language, fetched by partition
-        kept = per_lang.setdefault(r["lang"], [])
-        if len(kept) < per_language:
-            kept.append((r["h"], bytes(r["v"])))
-    rows = {lang: np.stack([np.frombuffer(v, np.float16).astype(np.float32) for _, v in sorted(kept)]) for lang, kept in sorted(per_lang.items())}
-    n, frequencies = document_frequencies(usable)
-    idf = np.log((1 + n) / (1 + frequencies)).astype(np.float32) + 0.1
-    names, centroids = [], []
-    for lang, x in rows.items():
-        x = unit(x * idf)
-        x = x[np.linalg.norm(x, axis=1) > 0.5]
-        if len(x):
-            found = cluster(x, clusters)
-            names += [lang] * len(found)
-            centroids.append(found)
-    return {"names": names, "centroids": np.concatenate(centroids), "idf": idf} if names else None
-
-
-def predict(docs: DataFrame, model: dict | None, min_score: float = 0.35) -> DataFrame:
-    """(doc_id, lang_pred, score, margin, rejected) for each row, from its whole text.
+                x = unit(counts(texts[part]) * idf)
+                taken = [batch.column(c).slice(part.start, part.stop - part.start) for c in ("lang", "h", "t")]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "t", "v"])
 
-    ``score`` is the cosine with the nearest centroid (0 to 1), ``margin`` its lead over the best other
-    language, ``rejected`` whether the score is below ``min_score`` or there is no letter. Null text and text
-    without a letter: ``und``, score 0, rejected. Without a model all are ``und``. Repeated rows get equal
-    answers; other columns are left out; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most clusters x MAX_LANGUAGES rows of FEATURES float32
+    def clustered(sample):
+        import pyarrow as pa
+
+        sample = sample.sort_by([("h", "ascending"), ("t", "ascending")])
+        found = cluster(np.frombuffer(b"".join(sample.column("v").to_pylist()), np.float32).reshape(-1, FEATURES), clusters)
+        lang = sample.column("lang")[0].as_py()
+        return pa.Table.from_arrays([pa.array([lang] * len(found)), pa.array(range(len(found)), pa.int32()), pa.array([c.astype(np.float32).tobytes() for c in found], pa.binary())], names=["lang", "part", "centroid"])
+
+    # Of rows that share all of language, doc_id and text one is taken, so a task sees ``per_language`` vectors at most.
+    sample = usable.join(keys, ["lang", "h", "t"], "left_semi").mapInArrow(vectors, "lang string, h long, t long, v binary")
+    sample = sample.groupBy("lang", "h", "t").agg(F.min("v").alias("v"))
+    centroids = save(sample.groupBy("lang").applyInArrow(clustered, "lang string, part int, centroid binary"), "centroids")
+    return Model(idf, centroids, centroids.select("lang").distinct().count())
+
+
+def _compared(texts: list[str | None], idf: np.ndarray, langs: np.ndarray, code: np.ndarray, weighted: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """Of each text, the language of the nearest centroid (null without a letter), its cosine, and that of the best
+    other language (-1 if there is none)."""
+    best, top, other = [], [], []
+    for at in range(0, len(texts), 512):
+        few = texts[at:at + 512]
+        known = np.array([t is not None and has_letter(t) for t in few])
+        names, first, second = np.full(len(few), None, object), np.zeros(len(few)), np.full(len(few), -1.0)
+        if known.any():
+            x = counts([t for t, k in zip(few, known, strict=True) if k])
+            cosine = x @ weighted / np.maximum(np.linalg.norm(x * idf, axis=1, keepdims=True), 1e-12)
+            by_lang = np.stack([cosine[:, code == j].max(axis=1) for j in range(len(langs))], axis=1)
+            own = by_lang.argmax(axis=1)
+            names[known], first[known] = langs[own], by_lang[np.arange(len(own)), own]
+            by_lang[np.arange(len(own)), own] = -1
+            second[known] = by_lang.max(axis=1)
+        best += names.tolist()
+        top.append(first)
+        other.append(second)
+    return best, np.concatenate(top) if top else np.zeros(0), np.concatenate(other) if other else np.zeros(0)
+
+
+def _nearest(docs: DataFrame, keep: list[str], idf: np.ndarray, names: list[str], centroids: np.ndarray) -> DataFrame:
+    """``keep`` and (best, top, other) of each row of ``docs``, among the languages of one group."""
+    shared = docs.sparkSession.sparkContext.broadcast((names, centroids))  # GROUP languages, about
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m = shared.value
-        if m:
-            names = np.array(m["names"])
-            langs, code = np.unique(names, return_inverse=True)
-            weighted = (m["centroids"] * m["idf"]).T.astype(np.float32)
+        langs, code = np.unique(np.array(shared.value[0], object).astype(str), return_inverse=True)
+        weighted = (shared.value[1] * idf).T.astype(np.float32)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            pred, score, margin, rejected = [], [], [], []
-            for part in by_bytes([t or "" for t in texts], 1 << 21):
-                for few in (range(a, min(a + 512, part.stop)) for a in range(part.start, part.stop, 512)):
-                    known = np.array([t is not None and has_letter(t) for t in (texts[i] for i in few)])
-                    if not m:
-                        known[:] = False
-                    best = np.full(len(known), "und", object)
-                    top, lead = np.zeros(len(known)), np.zeros(len(known))
-                    if known.any():
-                        x = counts([texts[i] for i, k in zip(few, known, strict=True) if k])
-                        cosine = x @ weighted / np.maximum(np.linalg.norm(x * m["idf"], axis=1, keepdims=True), 1e-12)
-                        by_lang = np.stack([cosine[:, code == j].max(axis=1) for j in range(len(langs))], axis=1)
-                        own = by_lang.argmax(axis=1)
-                        best[known] = langs[own]
-                        high = by_lang[np.arange(len(own)), own]
-                        by_lang[np.arange(len(own)), own] = -1
-                        top[known] = np.clip(high, 0, 1)
-                        lead[known] = high - by_lang.max(axis=1) if len(langs) > 1 else high
-                    pred += best.tolist()
-                    score += top.tolist()
-                    margin += lead.tolist()
-                    rejected += (~known | (top < min_score)).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())],
-                                             names=["doc_id", "lang_pred", "score", "margin", "rejected"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+            found = [_compared(texts[part], idf, langs, code, weighted) for part in by_bytes([t or "" for t in texts], 1 << 21)]
+            best, top, other = zip(*found, strict=True) if found else ([], [np.zeros(0)], [np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x for b in best for x in b], pa.string()), pa.array(np.concatenate(top)), pa.array(np.concatenate(other))],
+                                             names=[*keep, "best", "top", "other"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(keep).schema)
+    return docs.mapInArrow(run, f"{kinds}, best string, top double, other double")
+
+
+def predict(docs: DataFrame, model: Model | None, min_score: float = 0.35) -> DataFrame:
+    """(doc_id, lang_pred, score, margin, rejected) for each row, from its whole text.
+
+    ``score`` is the cosine with the nearest centroid (0 to 1), ``margin`` its lead over the best other
+    language, ``rejected`` whether the score is below ``min_score`` or there is no letter. Null text and text
+    without a letter: ``und``, score 0, rejected. Without a model all are ``und``. Repeated rows get equal
+    answers; other columns are left out; an empty table gives no rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = model.groups() if model else iter(())
+    first, second = next(groups, None), next(groups, None)
+    if first is None:
+        found = rows.select("doc_id", F.lit(None).cast("string").alias("best"), F.lit(0.0).alias("top"), F.lit(-1.0).alias("other"))
+    elif second is None:
+        found = _nearest(rows, ["doc_id"], model.idf, *first)
+    else:
+        # The answer hangs on the text alone, which two hashes name.
+        named = rows.select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("lang"), "text").alias("b"))
+        merged = None
+        for group in (first, second, *groups):
+            part = save(_nearest(named, ["a", "b"], model.idf, *group).filter("best is not null").groupBy("a", "b").agg(F.min(F.struct("best", "top", "other")).alias("x")), "lang-group")
+            merged = part if merged is None else merged.unionByName(part)
+        lead = F.array_sort(F.collect_list(F.struct((-F.col("x.top")).alias("less"), F.col("x.best").alias("best"), F.col("x.other").alias("other"))))  # one a group
+        merged = merged.groupBy("a", "b").agg(lead.alias("all")).select(
+            "a", "b", F.col("all")[0]["best"].alias("best"), (-F.col("all")[0]["less"]).alias("top"),
+            F.greatest(F.col("all")[0]["other"], F.coalesce(-F.get("all", F.lit(1))["less"], F.lit(-1.0))).alias("other"))
+        found = named.drop("text").join(merged, ["a", "b"], "left").select("doc_id", "best", F.coalesce("top", F.lit(0.0)).alias("top"), F.coalesce("other", F.lit(-1.0)).alias("other"))
+    known = F.col("best").isNotNull()
+    score = F.least(F.greatest(F.col("top"), F.lit(0.0)), F.lit(1.0))
+    margin = F.when(~known, 0.0).when(F.col("other") > -1, F.col("top") - F.col("other")).otherwise(F.col("top"))
+    return found.select("doc_id", F.coalesce("best", F.lit("und")).alias("lang_pred"), score.alias("score"), margin.alias("margin"), (~known | (score < min_score)).alias("rejected"))

@@ -36,7 +36,7 @@ def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs, fold(5) != 0)
-    return langid.predict(docs, model).withColumn("held_out", fold(5) == 0)
+    return langid.predict(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,8 +199,8 @@ def test_language_frequencies_cover_all_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
     model = langid.fit(df, F.lit(True), per_language=5)
     present = np.stack([langid.counts([text])[0] > 0 for _, text, _ in rows[:70]]).sum(axis=0)
-    assert np.allclose(model["idf"], np.log(71 / (1 + present)) + 0.1, atol=1e-5)
-    assert set(model["names"]) == {"de", "en"}
+    assert np.allclose(model.idf, np.log(71 / (1 + present)) + 0.1, atol=1e-5)
+    assert {r.lang for r in model.centroids.collect()} == {"de", "en"}
 
 
 def test_language_accuracy(spark, sf_dir):
@@ -225,3 +225,36 @@ def test_language_edges(odd, empty, documents):
 def test_language_vectors_are_finite(text):
     x = langid.counts([text])
     assert x.shape == (1, langid.FEATURES) and (x >= 0).all()
+
+
+def test_language_scores_are_cosines_with_the_nearest_centroid(documents, monkeypatch):
+    import numpy as np
+
+    model = langid.fit(documents, fold(5) != 0)
+    names, centroids = next(model.groups())
+    assert np.allclose(np.linalg.norm(centroids, axis=1), 1, atol=1e-4)
+    text = {r.doc_id: r.text for r in documents.collect()}
+    rows = {r.doc_id: r for r in langid.predict(documents, model).collect()}
+    for i in sorted(text)[:80]:
+        x = np.zeros(langid.FEATURES)
+        x += langid.counts([text[i] or ""])[0]
+        x *= model.idf
+        cosine = [float(c @ x) / max(np.linalg.norm(x), 1e-12) for c in centroids.astype(float)]
+        best = max(range(len(names)), key=lambda j: cosine[j])
+        other = max((c for c, n in zip(cosine, names, strict=True) if n != names[best]), default=-1)
+        if any(map(str.isalpha, text[i] or "")):
+            assert rows[i].lang_pred == names[best] and abs(rows[i].score - cosine[best]) < 1e-4 and abs(rows[i].margin - (cosine[best] - other)) < 2e-4
+    monkeypatch.setattr(langid, "GROUP", 1)
+    assert len(list(model.groups())) > 1
+    for r in langid.predict(documents, model).collect():
+        assert r.lang_pred == rows[r.doc_id].lang_pred and abs(r.score - rows[r.doc_id].score) < 1e-5 and abs(r.margin - rows[r.doc_id].margin) < 1e-5 and r.rejected == rows[r.doc_id].rejected
+
+
+def test_language_fit_with_clashing_names_nulls_and_repeats(spark):
+    rows = [(None, "der schnelle fuchs", "de", 1, 2)] * 50 + [(i, f"the quick brown fox {i}", "en", 1, 2) for i in range(30)] + [(5, None, "en", 1, 2), (6, "x", None, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, __edge long, h long").repartition(4)
+    model = langid.fit(df, F.col("doc_id").isNull() | (F.col("doc_id") >= 0), per_language=5)
+    assert {r.lang for r in model.centroids.collect()} == {"de", "en"}
+    got = langid.predict(df, model).collect()
+    assert len(got) == len(rows) and sum(r.lang_pred == "de" for r in got) >= 50
+    assert langid.fit(df, F.lit(None).cast("boolean")) is None
