@@ -448,3 +448,58 @@ def test_search_repeated_ids(spark):
     rows = [(i, rng.normal(0, 1, 4).tolist()) for i in range(60)]
     rows += [(i, (3 * rng.normal(0, 1, 4)).tolist()) for i in (0, 0, 10, 7, 7, 7) for _ in range(15)] + rows[:20] + [(20, rows[5][1]), (21, rows[5][1])]
     assert found(spark.createDataFrame(rows, schema).repartition(3), 10) == brute_items(rows, 5, 10)
+
+
+# Mixing against a plain walk
+
+def test_exponent_by_passes_is_the_least():
+    for goal in (0.0, 0.1, 0.3333, 0.999999, 1.0):
+        assert mixing._least(lambda tried, goal=goal: [a >= goal for a in tried]) == pytest.approx(goal, abs=2 ** (1 - mixing.BITS))
+    assert mixing._least(lambda tried: [False] * len(tried)) == 1.0
+
+
+@pytest.mark.parametrize("budget", [None, 9000])
+def test_mixture_equals_a_walk(spark, budget):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 40])), rng.choice(["a"] * 9 + ["b"] * 3 + ["c", None])) for i in range(900)] + [(1000, "", "d"), (1001, None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    narrow = mixing.narrowed(df)
+    table = {r["source"]: r for r in mixing.weights(narrow, 0.97, 4.0, budget)}
+    tokens = collections.Counter()
+    for _, t, s in rows:
+        tokens[s] += len((t or "").split())
+    live = {s: n / sum(tokens.values()) for s, n in tokens.items() if n}
+    exponent = mixing.solve_exponent(list(live.values()), 0.97, 4.0)
+    shaped = dict(zip(live, mixing.tempered(list(live.values()), exponent), strict=True))
+    spent = budget or max(tokens[s] / w for s, w in shaped.items())
+    for s, r in table.items():
+        assert r["exponent"] == pytest.approx(exponent, abs=1e-8) and r["weight"] == pytest.approx(shaped.get(s, 0), abs=1e-7)
+        assert r["rate"] == pytest.approx(spent * shaped[s] / tokens[s] if s in shaped else 1.0, rel=1e-6)
+
+    # Every epoch is the order of its hashes; the last is cut with the document that reaches the budget.
+    epochs = max(math.ceil(r["rate"]) for r in table.values())
+    keys = {(r.doc_id, e): r[f"k{e}"] for r in narrow.select("doc_id", *[F.xxhash64(F.lit(0), F.lit(e), "doc_id", "print").alias(f"k{e}") for e in range(epochs)]).collect() for e in range(epochs)}
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    out = mixing.schedule(df, 0.97, 4.0, budget, block_tokens=2000).collect()
+    blocks = max(1, math.ceil(sum(r["rate"] * r["tokens"] for r in table.values()) / 2000), math.ceil(len(out) / 2000))
+    expected = {}
+    for s, r in table.items():
+        walked = 0
+        quota = max(1.0, r["rate"] * r["tokens"])
+        for e in range(math.ceil(r["rate"])):
+            goal = (r["rate"] - e) * r["tokens"]
+            read = 0
+            for i in sorted((i for i, _, x in rows if x == s), key=lambda i, e=e: keys[i, e]):
+                if e + 1 > r["rate"] and read >= goal:
+                    break
+                expected[i, e] = min(blocks - 1, math.floor(walked * blocks / quota)) if size[i] else None
+                read += size[i]
+                walked += size[i]
+    assert sorted((r.doc_id, r.epoch) for r in out) == sorted(expected)
+    assert all(expected[r.doc_id, r.epoch] in (None, r.block) for r in out)
+    places = collections.defaultdict(list)
+    for r in out:
+        places[r.block].append(r.place)
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
+    mixed = collections.Counter(r.doc_id for r in mixing.mix(df, 0.97, 4.0, budget).collect())
+    assert mixed == collections.Counter(i for i, _ in expected)
