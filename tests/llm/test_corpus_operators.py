@@ -503,3 +503,79 @@ def test_mixture_equals_a_walk(spark, budget):
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
     mixed = collections.Counter(r.doc_id for r in mixing.mix(df, 0.97, 4.0, budget).collect())
     assert mixed == collections.Counter(i for i, _ in expected)
+
+
+# Packing by its method
+
+def brute_pack(demands, limits):
+    """One bin after the other: of the rows that fit, the largest dot product with the room left."""
+    rows = sorted(range(len(demands)), key=lambda i: ([-d / x for d, x in zip(demands[i], limits, strict=True)], i))
+    bins, number = {}, 0
+    while rows:
+        room = list(limits)
+        while fitting := [i for i in rows if all(d <= r for d, r in zip(demands[i], room, strict=True))]:
+            best = max(fitting, key=lambda i: (sum(d / x * (r / x) for d, x, r in zip(demands[i], limits, room, strict=True)), -rows.index(i)))
+            bins[best] = number
+            rows.remove(best)
+            room = [r - d for r, d in zip(room, demands[best], strict=True)]
+        number += 1
+    return [bins[i] for i in range(len(demands))]
+
+
+def test_bins_are_those_of_the_largest_dot_product():
+    rng = random.Random(14)
+    for limits in ([64, 4, 32], [128, 16, 128], [64, 64, 16]):  # powers of two, so that products are exact
+        demands = [(n := rng.randint(1, limits[0]), 1, rng.randint(0, min(n, limits[2]))) for _ in range(150)]
+        assert packing.pack_vectors(np.array(demands), np.array(limits)).tolist() == brute_pack(demands, limits)
+
+
+def test_cut_points_keep_every_limit():
+    rng = random.Random(15)
+    for _ in range(300):
+        n, most = rng.randint(1, 500), rng.randint(1, 100)
+        prompt, loss = rng.randint(0, n), rng.randint(1, most)
+        pieces = packing.cut_points(n, prompt, most, loss)
+        assert [a for a, _, _ in pieces] == [sum(x for _, x, _ in pieces[:i]) for i in range(len(pieces))] and sum(x for _, x, _ in pieces) == n
+        assert all(0 < x <= most and y <= loss and y == sum(j >= prompt for j in range(a, a + x)) for a, x, y in pieces)
+
+
+def test_each_of_three_limits_binds(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    pieces = packing.tokenised(docs, packing.default_tokenizer(), 2, packing.MAX_TOKENS, packing.MAX_LOSS).cache()
+    limits = {"length": packing.MAX_TOKENS, "segments": packing.MAX_SEGMENTS, "loss_tokens": packing.MAX_LOSS}
+
+    def packed(**other):
+        now = limits | other
+        sums = collections.defaultdict(collections.Counter)
+        for r in packing.pack_pieces(pieces, now["length"], now["segments"], now["loss_tokens"]).collect():
+            sums[r.sequence_id].update(length=r.length, segments=1, loss_tokens=r.loss_tokens)
+        return list(sums.values())
+
+    bins = packed()
+    assert all(b[k] <= n for b in bins for k, n in limits.items())
+    for limit in limits:
+        assert max(b[limit] for b in packed(**{limit: 10 ** 6})) > limits[limit]
+    assert sum(b["length"] for b in bins) >= 0.97 * packing.MAX_TOKENS * len(bins)
+
+
+def test_tokenizers_of_other_layouts_are_encoded_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(packing.default_tokenizer()))
+    assert packing.by_runs(spec)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        path = tmp_path / f"{len(packing._encoders)}.json"
+        path.write_text(json.dumps(spec | change))
+        assert packing.by_runs(spec | change) is None
+        text = "Some words,  of ANY kind\u00a0x"
+        assert np.frombuffer(packing.word_encoder(str(path))(text.encode()), "<u4").tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
+def test_equal_pieces_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    rows = spark.createDataFrame([(None, "")] * 1000 + [(1, "a b\nc")] * 500, "doc_id long, text string")
+    first = sorted(map(str, packing.pack(rows.repartition(3)).collect()))
+    assert len(first) == 1500 and first == sorted(map(str, packing.pack(rows.repartition(7)).collect()))
+    assert packing.pack(rows).groupBy(F.shiftright("sequence_id", 24)).count().agg(F.max("count")).first()[0] < 120
