@@ -8,6 +8,8 @@ deterministic parser of its kind that expands to both sides and validates. Kinds
   ends with a word, where the country's numbers end or else, from the longest on, where the checksum holds;
 * ssn: three groups of digits (3-2-4, no group of zeros only, area neither 666 nor 9xx) after a cue; of several
   after one cue, those right after "not" are left out, but never the first;
+* account, routing, bic, passport, licence: what stands right after its cue, of the form of ``AFTER`` (an account number
+  has 6 to 17 digits, a routing number 9 with a valid checksum, a bank code 8 or 11 letters and digits, the others at least four digits);
 * uri: an address with its scheme: name://, an optional user and password, a host, port and path; mailto: with its
   addresses; tel:, sms:, fax: and callto: with a number of 6 to 15 digits, plus sign or not.
 """
@@ -23,10 +25,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The kinds in the order of all reports.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "uri")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "uri", "account", "routing", "bic", "passport", "licence")
 BASE_KINDS = KINDS[:4]
 #: Cues (lower case) that announce an identifier, by kind.
 CUES = {"iban": ("iban",), "ssn": ("ssn", "social security")}
+#: Cues (lower case) of identifiers that stand right after them, by kind.
+NEAR_CUES = {
+    "account": ("account", "acct", "a/c", "konto", "kontonummer", "compte", "cuenta"),
+    "routing": ("routing", "aba"),
+    "bic": ("bic", "swift"),
+    "passport": ("passport", "reisepass", "passeport", "pasaporte"),
+    "licence": ("driver license", "driver's license", "driver licence", "driving licence", "driver's licence", "permis de conduire", "permiso de conducir"),
+}
+#: Words and marks that may stand between such a cue and its identifier, and the identifiers' forms.
+BETWEEN = r"(?i:[\x20\t:#.=-]|(?:numbers?|nummer|no|nr|num|n°|nº|number|code|id|is|transit|num.ro|de|del|du)(?![A-Za-z0-9])){1,16}"
+AFTER = {
+    "account": r"[0-9](?:[\x20-]?[0-9]){5,16}(?![0-9A-Za-z])",
+    "routing": r"[0-9]{9}(?![0-9A-Za-z])",
+    "bic": r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?(?![0-9A-Za-z])",
+    "passport": r"[A-Z]{0,2}(?=(?:[A-Z]*[0-9]){4})[A-Z0-9]{6,9}(?![0-9A-Za-z])",
+    "licence": r"[A-Z]{0,2}(?=(?:[A-Z-]*[0-9]){4})[A-Z0-9][A-Z0-9-]{4,16}[A-Z0-9](?![0-9A-Za-z])",
+}
 #: Schemes (lower case) without slashes, and whether a number or addresses follow.
 SCHEMES = {"tel:": "number", "sms:": "number", "fax:": "number", "callto:": "number", "mailto:": "addresses"}
 #: An identifier starts on the line of its cue, or within this many characters after the cue.
@@ -59,6 +78,9 @@ _NUMBER = re.compile(r"\x20?\+?(?:\(\x20?)?[0-9](?:[\x20().\/-]{0,2}[0-9])*")
 _NUMBER_END = re.compile(r"(?<=[0-9])(?![0-9])")
 _NUMBER_MORE = re.compile(r"(?:;[A-Za-z-]+=[\w.+%:-]*\w)+")
 
+_AFTER = {kind: re.compile(f"{BETWEEN}({form})") for kind, form in AFTER.items()}
+_WORD_CHARS = re.compile(r"[A-Za-z0-9]")
+
 _automaton = None
 
 
@@ -78,6 +100,9 @@ def automaton():
         for kind, cues in CUES.items():
             for cue in cues:
                 _automaton.add_word(cue, (kind, len(cue)))
+        for kind, cues in NEAR_CUES.items():
+            for cue in cues:
+                _automaton.add_word(cue, (kind, len(cue)))
         _automaton.make_automaton()
     return _automaton
 
@@ -228,6 +253,10 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 span = _host_address(text, start, least) if anchor == "host" else _plain_address(text, start, last + 1, anchor)
                 if span:
                     spans["uri"].append(span)
+        elif anchor in NEAR_CUES:
+            span = _after_cue(text, last - width + 1, last + 1, anchor)
+            if span and (not spans[anchor] or span[0] >= spans[anchor][-1][1]):
+                spans[anchor].append(span)
         else:
             if last > line_end:
                 line_end = text.find("\n", last)
@@ -240,6 +269,18 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     return spans
 
 
+def _after_cue(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
+    """The identifier right after the cue at ``start`` to ``end``, which must be a word of its own (or with a plural s)."""
+    if start and _WORD_CHARS.match(text[start - 1]):
+        return None
+    if text[end:end + 1] in ("s", "S"):
+        end += 1
+    m = _AFTER[kind].match(text, end)
+    if m is None or kind == "routing" and sum(int(d) * w for d, w in zip(m[1], (3, 7, 1) * 3, strict=True)) % 10:
+        return None
+    return m.span(1)
+
+
 def _run_end(text: str, at: int) -> int:
     """Where an address could start next if none starts in the digit run at ``at``."""
     end = at + 1
