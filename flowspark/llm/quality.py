@@ -12,11 +12,22 @@ from flowspark.llm.common import WHITE_CLASS, fresh, let
 
 WORDLESS = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-#: Phrases that mark a line as page furniture rather than content.
+#: Runs of symbols or of exclamation and question marks; separators that stand alone; words in capitals.
+MARKS = r"[#*$%&<>~^=_]+|!{2,}|\?{2,}"
+SEPARATORS = r"(^|[\x20\x09-\x0D])[|>»•·]([\x20\x09-\x0D]|$)"
+SHOUTS = r"(^|[\x20\x09-\x0D])\p{Lu}{2,}"
+#: Ends of sentences and clauses, closing quotes and brackets included; links.
+ENDING = r"[.!?:;…。！？：；؟।][“\"\x27”’»)\]}]*([\x20\x09-\x0D]|$)"
+LINKS = r"(^|[\x20\x09-\x0D(<])(https?://|www\.|mailto:)[^\x20\x09-\x0D]"
+#: Marks of page furniture in any language: copyright lines, templates, markup.
+FURNITURE = r"[©({<](?:[cC]\) ?(19|20)[0-9]{2}|\{|/?[a-zA-Z][a-zA-Z0-9]*( [^<>]*)?/?>| ?(19|20)[0-9]{2})"
+#: Phrases that mark a line as page furniture, in English, German, French and Spanish; at a word's start.
 BOILERPLATE = (
-    r"(?i)(javascript is (disabled|required)|enable javascript|accept (all )?cookies|uses cookies|cookie policy"
-    r"|privacy policy|terms of (use|service)|all rights reserved|click here|sign up for our newsletter"
-    r"|subscribe to our|lorem ipsum|skip to (main )?content|back to top|share (this )?on (facebook|twitter))"
+    r"(?i)(^|[\x20\x09-\x0D(\"])(javascript|cookie (policy|settings|notice|banner)|accept (all )?cookies|uses cookies|cookie-richtlinie|verwendet cookies|cookies (akzeptieren|zulassen)|utilise des cookies|usa cookies|aceptar cookies"
+    r"|privacy policy|datenschutzerkl|politique de confidentialit|pol.tica de privacidad|terms of (use|service)|nutzungsbedingungen|conditions d.utilisation|condiciones de uso|t.rminos de servicio"
+    r"|all rights reserved|alle rechte vorbehalten|tous droits r.serv|todos los derechos reservados|click here|hier klicken|cliquez ici|haga clic aqu|clic aqu"
+    r"|sign up for our newsletter|subscribe to our|newsletter abonnieren|abonnez-vous|suscr.bete|lorem ipsum|skip to (main )?content|zum inhalt springen|aller au contenu|saltar al contenido"
+    r"|back to top|nach oben scrollen|haut de page|volver arriba|(share (this )?on|teilen auf|partager sur|compartir en) (facebook|twitter|whatsapp))"
 )
 
 
@@ -51,31 +62,35 @@ def repeated_words(words: Column, window: int = 5) -> Column:
     return F.when(n < window, F.lit(0).cast("long")).otherwise(let(grams(words), detail))
 
 
-def line_passes(line: Column, max_symbol_ratio: float, max_shout_ratio: float) -> Column:
+def line_passes(line: Column, max_symbol_ratio: float, max_shout_ratio: float, max_boilerplate_chars: int, min_sentence_words: int) -> Column:
     """Whether a line is content. Blank lines pass (they carry nothing to lose).
 
-    Punctuation: at most ``max_symbol_ratio`` symbol or exclamation runs a word. Navigation: menus, that is
-    at least three separators (``|`` ``>`` and the like) making up a fifth of the words. Boilerplate: a short
-    line with one of the phrases in ``BOILERPLATE``. Shouting: most letters are capitals in a long line.
+    Punctuation: at most ``max_symbol_ratio`` symbol or exclamation runs a word; in a line of ``min_sentence_words``
+    words or more, a sentence or clause ends at least once in 100 words. Navigation: menus, that is at least three separators (``|`` ``>`` and the like)
+    making up a fifth of the words, or links making up half of them. Boilerplate: a line of at most
+    ``max_boilerplate_chars`` code points with a mark of ``FURNITURE``, whatever its language, or with one of the phrases
+    in ``BOILERPLATE``; longer lines may speak of such things. Shouting: most words are in capitals in a long line.
     """
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
-    marks = count(r"[#*$%&<>~^=_]+|!{2,}|\?{2,}")
-    menus = count(r"(^|\s)[|>»•·](\s|$)")
+    has = lambda pattern: F.rlike(line, F.lit(pattern))
 
     def fails(words: Column) -> Column:
         return (
-            ((words >= 4) & (marks > max_symbol_ratio * words))
-            | ((menus >= 3) & (menus * 5 >= words))
-            | ((F.length(line) <= 200) & F.rlike(line, F.lit(BOILERPLATE)))
-            | ((words >= 8) & (count(r"(^|\s)\p{Lu}{2,}") > max_shout_ratio * words))
+            ((words >= min_sentence_words) & (count(ENDING) * 100 < words))
+            | ((words >= 4) & (count(MARKS) > max_symbol_ratio * words))
+            | let(count(SEPARATORS), lambda menus: (menus >= 3) & (menus * 5 >= words))
+            | ((F.length(line) <= max_boilerplate_chars) & (has(FURNITURE) | has(BOILERPLATE)))
+            | (F.contains(line, F.lit(":")) | F.contains(line, F.lit("www."))) & (count(LINKS) * 2 >= words)
+            | ((words >= 8) & (count(SHOUTS) > max_shout_ratio * words))
         )
 
     # Words are counted once: inside a lambda nothing shares equal expressions. A line without words is blank.
     return let(count(rf"{WORDLESS}+"), lambda words: (words == 0) | ~fails(words))
 
 
-def verdict_of(text: Column, max_loss: float = 0.5, max_symbol_ratio: float = 0.3, max_shout_ratio: float = 0.5) -> Column:
-    """The struct that ``judge`` adds, for one text."""
+def verdict_of(text: Column, max_loss: float = 0.5, max_symbol_ratio: float = 0.3, max_shout_ratio: float = 0.5, max_boilerplate_chars: int = 200,
+               min_sentence_words: int = 8) -> Column:
+    """The struct that ``judge`` adds, for one text. The parameters besides ``max_loss`` are those of ``line_passes``."""
     text = F.coalesce(text, F.lit(""))
     lines = F.split(text, "\n", -1)
 
@@ -88,7 +103,7 @@ def verdict_of(text: Column, max_loss: float = 0.5, max_symbol_ratio: float = 0.
 
     def line_counts(rows: Column) -> Column:
         return let(F.filter(rows, lambda x: F.rlike(x, F.lit(WORDLESS))), lambda full: let(
-            F.filter(rows, lambda x: line_passes(x, max_symbol_ratio, max_shout_ratio)), lambda good: F.struct(
+            F.filter(rows, lambda x: line_passes(x, max_symbol_ratio, max_shout_ratio, max_boilerplate_chars, min_sentence_words)), lambda good: F.struct(
                 F.size(rows).cast("long").alias("n_lines"),
                 (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
                 (F.size(rows) - F.size(good)).cast("long").alias("n_failed_lines"),
@@ -118,7 +133,7 @@ def judge(docs: DataFrame, out: str = "quality", **rules: float) -> DataFrame:
     (boolean), lost_ratio (double: share of non-blank characters on failing lines), n_lines, n_failed_lines
     (long) and cleaned (text: the passing lines joined by a newline). Base rules: fewer than 10 words, or
     over 20 % of the words in repeated five-word runs. ``kept`` is false if the base rules fail or lines
-    holding more than ``max_loss`` of the characters fail.
+    holding more than ``max_loss`` of the characters fail. ``rules``: the parameters of ``verdict_of``.
 
     Null text counts as empty: 0 words, base_failed, not kept, cleaned ''. Repeated rows are judged alike,
     one by one. Other columns, one named ``out`` excepted (it is replaced), pass through; an empty table stays

@@ -73,6 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_vafile_topk, op2_lm_score, op3_temperature_mix, op4_language_id, op5_line_dedup, op6_near_dup, op7_ring_sharding, op8_vector_packing, op9_pii_anchors, op10_quality_rules)
 }
 
+
+
+def _with_patterns(sql: str) -> str:
+    for name in ("marks", "separators", "shouts", "links", "ending", "furniture", "boilerplate"):
+        sql = sql.replace("{" + name + "}", getattr(quality, name.upper()))
+    return sql
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_vafile_topk": r"""
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings
@@ -101,21 +109,22 @@ ORACLE_SQL: dict[str, str] = {
         r(a, b) as (select doc_id, doc_id from t union select r.a, l.b from r join l on r.b = l.a)
         select t.doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(r.b) component_id, t.doc_id = min(r.b) kept
         from t join r on r.a = t.doc_id left join n on n.doc_id = t.doc_id group by t.doc_id""",
-    "op10_quality_rules": r"""
+    "op10_quality_rules": _with_patterns(r"""
         with t as (select doc_id, coalesce(text, '') text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
         g as (select doc_id, unnest(range(1, len(w) - 3)) i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) g from t),
         f as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) n from g) where n > 1),
         r as (select doc_id, sum(least(5, next - i)) n from (select *, coalesce(lead(i) over (partition by doc_id order by i), i + 5) next from f) group by 1),
         a as (select doc_id, unnest(string_split(text, chr(10))) line from t),
-        b as (select *, greatest(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')), 1) words, len(regexp_extract_all(line, '[#*$%&<>~^=_]+|!{2,}|\?{2,}')) marks,
-                     len(regexp_extract_all(line, '(^|[\x20\x09-\x0D])[|>»•·]([\x20\x09-\x0D]|$)')) menus, len(regexp_extract_all(line, '(^|[\x20\x09-\x0D])\p{Lu}{2,}')) shouts
+        b as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) words, len(regexp_extract_all(line, '{marks}')) marks, len(regexp_extract_all(line, '{separators}')) menus,
+                     len(regexp_extract_all(line, '{shouts}')) shouts, len(regexp_extract_all(line, '{links}')) links,
+                     len(regexp_extract_all(line, '{ending}')) endings
               from a where regexp_matches(line, '[^\x20\x09-\x0D]')),
-        c as (select *, (words >= 4 and marks > 0.3::double * words) or (menus >= 3 and menus * 5 >= words) or (words >= 8 and shouts > 0.5::double * words)
-                     or (length(line) <= 200 and regexp_matches(line, '""" + quality.BOILERPLATE + r"""')) bad from b),
+        c as (select *, (words >= 8 and endings * 100 < words) or (words >= 4 and marks > 0.3::double * words) or (menus >= 3 and menus * 5 >= words) or links * 2 >= words
+                     or (words >= 8 and shouts > 0.5::double * words) or (length(line) <= 200 and (regexp_matches(line, '{furniture}') or regexp_matches(line, '{boilerplate}'))) bad from b),
         d as (select doc_id, count(*) - count(distinct line) dup, sum(length(line)) chars, coalesce(sum(length(line)) filter (where not bad), 0) good from c group by 1),
         e as (select doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols,
                      coalesce(dup, 0)::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words, coalesce(1 - good::double / chars::double, 0.0::double) lost_ratio
               from t left join r using (doc_id) left join d using (doc_id)),
         x as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from e)
-        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost_ratio <= 0.5 kept, lost_ratio from x""",
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost_ratio <= 0.5 kept, lost_ratio from x"""),
 }

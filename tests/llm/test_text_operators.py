@@ -49,6 +49,15 @@ def test_quality_line_rules(spark):
     assert got[1].kept and got[1].cleaned == f"{prose}\n{more}" and got[1].n_failed_lines == 1
     assert not got[2].kept and got[2].n_failed_lines == 3
     assert got[3].cleaned == prose
+    furniture = ["© 2021 Muster GmbH", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "<div class=x>menu</div>", "{{ title }} of the page.",
+                 "see https://a.b/c www.d.e", "one two three four five six seven eight nine"]
+    content = ["Sie sagte: alles gut.", "a < b and c > d, as shown.", "See https://a.b/c for all of the many details of this.", "these are seven words without a mark"]
+    rows = [(i, line) for i, line in enumerate(furniture + content)]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "quality.n_failed_lines").collect()
+    assert {r.doc_id for r in out if r.n_failed_lines} == set(range(len(furniture)))
+    long_line = "The law says that all rights reserved notices are not needed any more, which is why. " * 4
+    judged = quality.judge(spark.createDataFrame([(1, long_line)], "doc_id long, text string"), max_boilerplate_chars=1000).first()
+    assert judged.quality.n_failed_lines == 1 and quality.judge(spark.createDataFrame([(1, long_line)], "doc_id long, text string")).first().quality.n_failed_lines == 0
 
 
 def test_quality_clean_keeps_columns(odd, empty):
@@ -258,3 +267,29 @@ def test_language_fit_with_clashing_names_nulls_and_repeats(spark):
     got = langid.predict(df, model).collect()
     assert len(got) == len(rows) and sum(r.lang_pred == "de" for r in got) >= 50
     assert langid.fit(df, F.lit(None).cast("boolean")) is None
+
+
+def brute_after_cues(text):
+    """Every cue that is a word, and what stands right after it, by one pattern a kind."""
+    out = {}
+    for kind, cues in pii.NEAR_CUES.items():
+        pattern = re.compile(r"(?<![A-Za-z0-9])(?i:" + "|".join(re.escape(c) for c in sorted(cues, key=len, reverse=True)) + r")[sS]?" + pii.BETWEEN + f"({pii.AFTER[kind]})")
+        found = [m.span(1) for m in pattern.finditer(text)]
+        out[kind] = [s for s in found if kind != "routing" or sum(int(d) * w for d, w in zip(text[slice(*s)], (3, 7, 1) * 3, strict=True)) % 10 == 0]
+    return out
+
+
+def test_pii_identifiers_after_cues():
+    for text, kind, number in [
+        ("Account number: 0012 3456 7890.", "account", "0012 3456 7890"), ("kontonummer 532013000 bitte", "account", "532013000"), ("numéro de compte : 20041010050", "account", "20041010050"),
+        ("the ABA routing number is 021000021, thanks", "routing", "021000021"), ("SWIFT/BIC: DEUTDEFF500", "bic", "DEUTDEFF500"), ("Passport No. C01X00T47 issued", "passport", "C01X00T47"),
+        ("driver's license D1234-56789-01234", "licence", "D1234-56789-01234"),
+    ]:
+        assert found_texts(text, kind) == [number], text
+    assert not any(pii.find("on account of 12 reasons, my accountant 123456789; arabic DEUTDEFF; routing 021000022; passport holders; swift action, aba is 12").values())
+    rng = random.Random(21)
+    parts = ["account", "Konto", "a/c", "routing", "ABA", "bic", "Passport", "driver's license", " number", " no", ": ", " ", "#", "123456", "021000021", "12 34 56 78", "DEUTDEFF", "C01X00T47", "s", "x"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 9)))
+        found = pii.find(text)
+        assert {k: found[k] for k in pii.NEAR_CUES} == brute_after_cues(text), text
