@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +35,15 @@ def join(sides: Sequence[tuple[Stream, Sequence[str]]], out: Sequence[str], type
         width.append(len(rest))
         tables.append(stream.df.select(*[F.col(k).alias(f"k{j}_{i}") for j, k in enumerate(keys)], *[F.col(r).alias(f"v{j}_{i}") for j, r in enumerate(rest)]))
     n_keys = len(sides[0][1]) + bool(batch)
-    if OUTER in types and len(sides) > 2:
-        df = _mixed(tables, n_keys, types)
-    else:
-        df = tables[0]
-        for i, table in enumerate(tables[1:], 1):
-            how = _TWO[types[0], types[1]] if len(sides) == 2 else "inner"
-            on = [df[f"k{j}_0"].eqNullSafe(table[f"k{j}_{i}"]) for j in range(n_keys)]
-            df = df.join(table, on, how)
-            if how in ("right", "full"):
-                # Null keys may be real: take the key of whichever side is there.
-                df = df.withColumns({f"k{j}_0": F.coalesce(f"k{j}_0", f"k{j}_{i}") for j in range(n_keys)})
+    df, so_far = tables[0], types[0]
+    for i, table in enumerate(tables[1:], 1):
+        # A row so far has every INNER side; with one of them, what it has no partner for may only be missing.
+        how = _TWO[so_far, types[i]]
+        so_far = INNER if INNER in (so_far, types[i]) else OUTER
+        df = df.join(table, reduce(lambda a, b: a & b, [df[f"k{j}_0"].eqNullSafe(table[f"k{j}_{i}"]) for j in range(n_keys)]), how)
+        if how in ("right", "full"):
+            # Null keys may be real: take the key of whichever side is there.
+            df = df.withColumns({f"k{j}_0": F.coalesce(f"k{j}_0", f"k{j}_{i}") for j in range(n_keys)})
     columns = [f"k{j}_0" for j in range(n_keys)] + [f"v{j}_{i}" for i, w in enumerate(width) for j in range(w)]
     names = [*([sides[0][0].batch] if batch else []), *distinct_fields(out)]
     if len(names) != len(columns):
@@ -52,22 +51,6 @@ def join(sides: Sequence[tuple[Stream, Sequence[str]]], out: Sequence[str], type
     return Stream(df.select(*columns).toDF(*names), batch)
 
 
-def _mixed(tables: Sequence[DataFrame], n_keys: int, types: Sequence[str]) -> DataFrame:
-    """Any mix of types over three or more sides, by one shuffle: all sides are tagged and united, a key's rows of
-    each side are gathered, keys that lack an INNER side go, and what is left is crossed."""
-    keys = [f"k{j}_0" for j in range(n_keys)]
-    united = None
-    for i, table in enumerate(tables):
-        values = [c for c in table.columns if c.startswith("v")]
-        row = F.struct(F.lit(True).alias("__row"), *values)
-        tagged = table.select(*[F.col(f"k{j}_{i}").alias(f"k{j}_0") for j in range(n_keys)], row.alias(f"s{i}"))
-        united = tagged if united is None else united.unionByName(tagged, allowMissingColumns=True)
-    df = united.groupBy(*keys).agg(*[F.collect_list(f"s{i}").alias(f"s{i}") for i in range(len(tables))])
-    for i, kind in enumerate(types):
-        df = df.filter(F.size(f"s{i}") > 0).withColumn(f"s{i}", F.explode(f"s{i}")) if kind == INNER else df.withColumn(f"s{i}", F.explode_outer(f"s{i}"))
-    return df.select(*keys, *[F.col(f"s{i}.{c}").alias(c) for i, t in enumerate(tables) for c in t.columns if c.startswith("v")])
-
-
 def natural_join(sides: Sequence[Stream], out: Sequence[str]) -> Stream:
     """Inner join of streams on the fields that all have in common; ``out`` picks the fields of the result."""
     common = [f for f in sides[0].output_fields if all(f in s.output_fields for s in sides)]

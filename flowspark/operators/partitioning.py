@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.aggregates import Native
+from flowspark.shared import free_name
 
 
 def shuffle(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -48,8 +49,15 @@ def index_hash(column: Column, n: int) -> Column:
 
 
 def two_phase(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[Native, str]], salts: int = 2) -> DataFrame:
-    """Aggregate by (key, salt), then merge by key, so that at most a ``salts``-th of a hot key's rows meet in one
-    task. Equal to plain aggregation for aggregators whose merge is a sum."""
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    first = salted.groupBy(*keys, "__salt").agg(*[a.expr.alias(n) for a, n in pairs])
-    return first.groupBy(*keys).agg(*[F.sum(n).alias(n) for _, n in pairs])
+    """Aggregate by (key, salt), then merge by key with each aggregator's own merge, so that at most a ``salts``-th of a
+    hot key's rows meet in one task. Equal to plain aggregation; aggregators of many rows give them as arrays."""
+    salt, parts = free_name(df, "salt"), "parts"
+    first = df.withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(salts))).groupBy(*keys, salt).agg(*[a.expr.alias(n) for a, n in pairs])
+    gathered = first.groupBy(*keys).agg(F.collect_list(F.struct(*[n for _, n in pairs])).alias(free_name(first, parts)))  # ``salts`` rows a key
+    parts = gathered.columns[-1]
+
+    def merged(aggregator: Native, name: str) -> Column:
+        values = F.transform(parts, lambda p: p[name])
+        return F.reduce(F.slice(values, 2, salts), F.get(values, F.lit(0)), aggregator.merge).alias(name)
+
+    return gathered.select(*keys, *[merged(a, n) for a, n in pairs])

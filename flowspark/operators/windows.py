@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.schema import require
+from flowspark.shared import free_name, written
 
 
 def slot_counts(df: DataFrame, obj: str, slot: str) -> DataFrame:
@@ -78,18 +79,10 @@ def running_count(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame
     return df.withColumn("running", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
-def global_running_count(df: DataFrame, order: str, buckets: int = 64) -> DataFrame:
-    """Add ``running``: the row's number in the order of the whole-number column ``order`` (unique), without
-    sorting all rows in one task: ranges are counted, and numbered on from the sum of those before."""
-    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    df = df.crossJoin(F.broadcast(ends))  # one row
-    width = F.greatest(F.ceil((F.col("high") - F.col("low") + 1) / buckets), F.lit(1))
-    df = df.withColumn("__bucket", F.floor((F.col(order) - F.col("low")) / width)).drop("low", "high")
-    sizes = df.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))  # at most ``buckets`` rows
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(sizes.select("__bucket", before.alias("__before")))
-    df = df.join(offsets, "__bucket")
-    return df.withColumn("running", F.col("__before") + F.row_number().over(Window.partitionBy("__bucket").orderBy(order))).drop("__bucket", "__before")
+def global_running_count(df: DataFrame, order: str) -> DataFrame:
+    """Add ``running``: the row's number in the order of the column ``order`` (unique)."""
+    one = free_name(df, "one")
+    return prefix_sums(df.withColumn(one, F.lit(1)), order, one, "running").drop(one)
 
 
 def latest_totals(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -99,14 +92,16 @@ def latest_totals(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return prefix_sums(df.select(order, change.alias("__change")), order, "__change", "total").select(order, "total")
 
 
-def prefix_sums(df: DataFrame, order: str, value: str, out: str, buckets: int = 64) -> DataFrame:
-    """Add ``out``: the sum of ``value`` up to this row in the order of the whole-number column ``order`` (unique)."""
-    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    df = df.crossJoin(F.broadcast(ends))  # one row
-    width = F.greatest(F.ceil((F.col("high") - F.col("low") + 1) / buckets), F.lit(1))
-    df = df.withColumn("__bucket", F.floor((F.col(order) - F.col("low")) / width)).drop("low", "high")
-    sums = df.groupBy("__bucket").agg(F.sum(value).alias("__n"))  # at most ``buckets`` rows
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    df = df.join(F.broadcast(sums.select("__bucket", before.alias("__before"))), "__bucket")
-    running = F.sum(value).over(Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(out, F.col("__before") + running).drop("__bucket", "__before")
+def prefix_sums(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` up to this row in the order of the column ``order`` (unique).
+
+    Rows go to sampled ranges of about equal numbers, as many as the session has shuffle partitions; only the ranges'
+    sums meet in one task."""
+    bucket, before, end = (free_name(df, n) for n in ("bucket", "before", "end"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, order).withColumn(bucket, F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(bucket).agg(F.sum(value).alias(end))  # a row a range
+    earlier = F.coalesce(F.sum(end).over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranged = ranged.join(F.broadcast(sums.select(bucket, earlier.alias(before))), bucket)
+    running = F.sum(value).over(Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.withColumn(out, F.col(before) + running).select(*df.columns, out)

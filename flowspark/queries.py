@@ -318,10 +318,10 @@ def join_null_keys(spark, d):
     return join([(s, ["k"]), (s, ["k"])], ["k", "x", "y"]).df
 
 
-@registered("select a.b __batch_id, o_orderkey, l_linenumber from (select o_orderkey % 10 b, * from orders) a join (select (l_orderkey + l_linenumber) % 10 b, * from lineitem) l on a.b = l.b and o_orderkey = l_orderkey")
+@registered("select a.b __batch_id, o_orderkey, l_linenumber from (select o_orderkey % 10 b, * from orders) a join (select (l_orderkey + l_linenumber // 4) % 10 b, * from lineitem) l on a.b = l.b and o_orderkey = l_orderkey")
 def join_per_batch(spark, d):
     orders = tables.in_batches(tables.table(spark, d, "orders").select("o_orderkey"), F.col("o_orderkey") % 10)
-    lines = tables.in_batches(tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), (F.col("l_orderkey") + F.col("l_linenumber")) % 10)
+    lines = tables.in_batches(tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), (F.col("l_orderkey") + F.floor(F.col("l_linenumber") / 4)) % 10)
     return join([(orders, ["o_orderkey"]), (lines, ["l_orderkey"])], ["o_orderkey", "l_linenumber"]).df
 
 
@@ -382,13 +382,13 @@ def sliding_window_counts(spark, d):
     return windows.sliding_counts(windows.slot_counts(events, "user_id", "slot"), "user_id", "slot", "n", 4, last)
 
 
-@registered("select event_type, epoch_ms(b * 3000 - k * 3000) \"start\", epoch_ms(b * 3000 - k * 3000 + 9000) \"end\", count(*) n from (select event_type, epoch_ms(ts) // 3000 b from events), range(3) t(k) group by 1, 2, 3")
+@registered("select event_type, epoch_ms(b * 3000 - k * 3000) \"start\", epoch_ms(b * 3000 - k * 3000 + 9000) \"end\", count(*) n from (select event_type, epoch_us(ts) // 3000000 b from events), range(3) t(k) group by 1, 2, 3")
 def rolling_counts(spark, d):
     out = windows.rolling_counts(tables.table(spark, d, "events"), "ts", ["event_type"])
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@registered("""with c as (select epoch_ms(ts) // 3600000 slot, user_id, count(*) n from events group by 1, 2), r as (select slot + k slot, user_id, sum(n)::bigint n from c, range(3) t(k) group by 1, 2)
+@registered("""with c as (select epoch_us(ts) // 3600000000 slot, user_id, count(*) n from events group by 1, 2), r as (select slot + k slot, user_id, sum(n)::bigint n from c, range(3) t(k) group by 1, 2)
     select slot::bigint slot, user_id, n, rank from (select *, (row_number() over (partition by slot order by n desc, user_id))::int rank from r) where rank <= 3""")
 def rolling_top_n(spark, d):
     events = tables.table(spark, d, "events").select("user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("slot"))
@@ -463,6 +463,35 @@ def persistent_count(spark, d):
     return state.snapshot()
 
 
+@registered("select user_id, sum(event_id * 2)::bigint n from events group by 1")
+def persistent_reduce(spark, d):
+    state, even, odd = _counts(spark, d, OPAQUE, "reduce")
+    doubled = agg.Reducer(lambda: 0, lambda now, r: now + 2 * r["event_id"], "long")
+    for batch, epoch in ((even, 1), (odd.limit(0), 2), (odd, 2)):  # the second batch comes again, with rows
+        runner.update_state(batch, ["user_id"], doubled, state, epoch, order=["event_id"])
+    return state.snapshot()
+
+
+@registered("select max(event_id)::bigint n from events")
+def persistent_combine_global(spark, d):
+    state = StateTable(spark, fresh_path(spark, "combine"), "", "n long", TRANSACTIONAL)
+    events = tables.table(spark, d, "events").select("event_id")
+    largest = agg.Combiner(lambda r: r["event_id"], max, lambda: 0, "long")
+    for part, epoch in ((0, 1), (0, 1), (1, 2)):
+        runner.update_state(events.filter(F.col("event_id") % 2 == part), [], largest, state, epoch)
+    return state.snapshot()
+
+
+@registered("select string_agg(r_name, ',' order by r_regionkey) names from region")
+def persistent_reduce_global(spark, d):
+    state = StateTable(spark, fresh_path(spark, "reduce-all"), "", "names string", OPAQUE)
+    joined = agg.Reducer(lambda: "", lambda now, r: (now and now + ",") + r["r_name"], "string")
+    regions = tables.table(spark, d, "region").select("r_regionkey", "r_name")
+    for low, epoch in ((0, 1), (2, 2)):
+        runner.update_state(regions.filter(F.col("r_regionkey").between(low, 1 if low == 0 else 10**9)), [], joined, state, epoch, order=["r_regionkey"])
+    return state.snapshot()
+
+
 @registered("""with c as (select user_id, count(*) filter (where event_id % 2 = 1) a, count(*) filter (where event_id % 4 = 2) b, count(*) filter (where event_id % 4 = 0) c from events group by 1)
     select user_id, case when c > 0 then a + c else a + b end n from c""")
 def opaque_replay(spark, d):
@@ -666,19 +695,33 @@ def plan_from_data(spark, d):
 
 # Streams: each gives what the static operator gives
 
-def _stream(spark, d, name):
-    return tables.file_stream(spark, f"{d}/{name}.parquet", tables.table(spark, d, name).schema)
+def _stream(spark, d, name, order, parts=4):
+    """A table as a stream of several batches: written part by part, in ranges of ``order``, one file a batch."""
+    df, path = tables.table(spark, d, name), fresh_path(spark, f"stream-{name}")
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.floor((order - F.lit(low)) * parts / F.lit(max(1, high - low))), F.lit(parts - 1)) if low is not None else F.lit(0)
+    for i in range(parts):
+        df.filter(F.coalesce(part, F.lit(0)) == i).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _documents():
+    return "documents", F.col("doc_id")
+
+
+def _events():
+    return "events", F.unix_micros(F.col("ts").cast("timestamp"))
 
 
 @registered(ORACLE_SQL["word_count"])
 def stream_word_count(spark, d):
-    s = Stream(_stream(spark, d, "documents").select("text")).each(rows.split_words(F.col("text")), "word", flat=True)
+    s = Stream(_stream(spark, d, *_documents()).select("text")).each(rows.split_words(F.col("text")), "word", flat=True)
     return runner.drain(s.group_by("word").aggregate(agg.count(), "n").df, "complete")
 
 
 @registered(ORACLE_SQL["rolling_counts"])
 def stream_rolling_counts(spark, d):
-    events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = _stream(spark, d, *_events()).withColumn("ts", F.col("ts").cast("timestamp"))
     out = runner.drain(windows.rolling_counts(events, "ts", ["event_type"]), "complete")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
@@ -686,20 +729,20 @@ def stream_rolling_counts(spark, d):
 @registered(ORACLE_SQL["persistent_count"])
 def stream_persistent_count(spark, d):
     state = StateTable(spark, fresh_path(spark, "stream-state"), "user_id long", "n long", TRANSACTIONAL)
-    runner.persistent_aggregate(_stream(spark, d, "events").select("user_id"), ["user_id"], agg.count(), state, fresh_path(spark, "checkpoint")).awaitTermination()
+    runner.persistent_aggregate(_stream(spark, d, *_events()).select("user_id"), ["user_id"], agg.count(), state, fresh_path(spark, "checkpoint")).awaitTermination()
     return state.snapshot()
 
 
 @registered("select user_id::varchar \"key\", max(running) largest, count(*) n from (select user_id, row_number() over (partition by user_id order by event_id) running from events) group by 1")
 def stream_running_count(spark, d):
     processors.use_rocksdb(spark)
-    out = runner.drain(processors.running_count_stream(_stream(spark, d, "events").select(F.col("user_id").cast("string").alias("user_id")), "user_id"), "append")
+    out = runner.drain(processors.running_count_stream(_stream(spark, d, *_events()).select(F.col("user_id").cast("string").alias("user_id")), "user_id"), "append")
     return out.groupBy("key").agg(F.max("running").alias("largest"), F.count(F.lit(1)).alias("n"))
 
 
 @registered("select a.event_id x, b.event_id y from events a join events b on a.user_id = b.user_id and b.ts between a.ts - interval 60 second and a.ts + interval 60 second where a.event_type = 'click' and b.event_type = 'purchase'")
 def stream_interval_join(spark, d):
-    events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = _stream(spark, d, *_events()).withColumn("ts", F.col("ts").cast("timestamp"))
     left = events.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("x"), F.col("ts").alias("left_ts"))
     right = events.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("y"), F.col("ts").alias("right_ts"))
     return runner.drain(runner.interval_join(left, right, "user_id", "left_ts", "right_ts", "60 seconds", "1 minute").select("x", "y"))
@@ -707,4 +750,4 @@ def stream_interval_join(spark, d):
 
 @registered("select user_id, count(*) \"count\" from events group by 1 order by 2 desc, 1 limit 10")
 def stream_rolling_top(spark, d):
-    return runner.drain(runner.rolling_top(_stream(spark, d, "events").select("user_id"), "user_id", 10), "complete")
+    return runner.drain(runner.rolling_top(_stream(spark, d, *_events()).select("user_id"), "user_id", 10), "complete")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flowspark.functions.aggregates import Native
+from flowspark.functions.aggregates import Combiner, Native, Reducer
+from flowspark.operators.stream import Stream
 from flowspark.schema import require
 from flowspark.shared import fresh_path
 from flowspark.state import StateTable
@@ -22,26 +23,90 @@ def for_each_batch(df: DataFrame, function: Callable[[DataFrame, int], None], ch
     return writer.start() if start else writer
 
 
-def persistent_aggregate(df: DataFrame, keys: Sequence[str], aggregator: Native, state: StateTable, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def persistent_aggregate(df: DataFrame, keys: Sequence[str], aggregator: Native | Combiner | Reducer, state: StateTable, checkpoint: str, every: str | None = None,
+                         order: Sequence[str] = (), new_values: str | None = None) -> StreamingQuery:
     """Aggregate each batch by key, then merge into ``state``: one write per key and batch, exactly once for the
-    transactional and opaque kinds."""
-    require(df, keys)
-    return for_each_batch(df, lambda batch, epoch: update_state(batch, keys, aggregator, state, epoch), checkpoint, every)
+    transactional and opaque kinds. ``new_values``: a folder that gets each batch's new values (see ``new_values_stream``)."""
+    require(df, [*keys, *order])
 
+    def one(batch: DataFrame, epoch: int) -> None:
+        touched = update_state(batch, keys, aggregator, state, epoch, order)
+        if new_values:
+            touched.write.mode("overwrite").parquet(f"{new_values}/epoch={epoch}")
 
-def update_state(batch: DataFrame, keys: Sequence[str], aggregator: Native, state: StateTable, epoch: int) -> DataFrame | None:
-    """One batch of ``persistent_aggregate``; returns (keys, new value) of the keys touched, None for no rows."""
-    if batch.isEmpty():
-        return None
-    deltas = batch.groupBy(*keys).agg(aggregator.expr.alias(state.value)) if keys else batch.agg(aggregator.expr.alias(state.value))
-    return state.update(deltas, epoch, aggregator.merge)
+    return for_each_batch(df, one, checkpoint, every)
 
 
-def collect_stream(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what the memory sink holds. For tests and small results."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def update_state(batch: DataFrame, keys: Sequence[str], aggregator: Native | Combiner | Reducer, state: StateTable, epoch: int, order: Sequence[str] = ()) -> DataFrame:
+    """One batch of ``persistent_aggregate``; returns (keys, new value) of the keys touched. A native aggregator and a
+    combiner aggregate the batch before they meet the state; a reducer sees the rows of a key in ``order``."""
+    if isinstance(aggregator, Native):
+        value = aggregator.expr.alias(state.value)
+        # Without keys an empty batch would count as its zero: there is nothing to merge.
+        deltas = batch.groupBy(*keys).agg(value) if keys else batch.groupBy(F.lit(0).alias("__all")).agg(value).drop("__all")
+        return state.update(deltas, epoch, aggregator.merge)
+    if isinstance(aggregator, Combiner):
+        stream = Stream(batch)
+        deltas = (stream.group_by(*keys) if keys else stream).aggregate(aggregator, state.value).df
+        return state.fold(deltas, epoch, _combined(aggregator, state.value))
+    return state.fold(batch, epoch, _reduced(aggregator), order)
+
+
+def _combined(aggregator: Combiner, value: str) -> Callable:
+    return lambda now, rows: rows[0][value] if now is None else aggregator.combine(now, rows[0][value])
+
+
+def _reduced(aggregator: Reducer) -> Callable:
+    def fold(now, rows: list[dict]):
+        now = aggregator.init() if now is None else now
+        for row in rows:
+            now = aggregator.reduce(now, row)
+        return now
+    return fold
+
+
+def new_values_stream(state: StateTable, folder: str) -> DataFrame:
+    """(keys, value, epoch): what ``persistent_aggregate`` wrote to ``folder``, as a stream to chain on. A batch that
+    came twice may be seen twice, with its number."""
+    spark = state.spark
+    fs, p = state._fs(folder)
+    fs.mkdirs(p)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (*state.key_schema.fields, state.value_field))
+    return spark.readStream.schema(f"{schema}, epoch long").parquet(folder)
+
+
+class StateUpdater:
+    """User code that puts batches into a state of any kind. ``update`` may return new values."""
+
+    def prepare(self) -> None:
+        """Called once, before the first batch."""
+
+    def update(self, state: object, batch: DataFrame, epoch: int) -> DataFrame | None:
+        raise NotImplementedError
+
+    def cleanup(self) -> None:
+        """Called when the stream has ended."""
+
+
+def partition_persist(df: DataFrame, make_state: Callable[[], object], updater: StateUpdater, checkpoint: str, on_new: Callable[[DataFrame, int], None] | None = None) -> object:
+    """Run ``updater`` over each batch that is there now, in epoch order, against the state that ``make_state`` makes;
+    what it returns goes to ``on_new``. A state may have ``begin_commit(epoch)`` and ``commit(epoch)``, called around each
+    batch. Returns the state."""
+    state = make_state()
+
+    def one(batch: DataFrame, epoch: int) -> None:
+        getattr(state, "begin_commit", lambda _: None)(epoch)
+        out = updater.update(state, batch, epoch)
+        getattr(state, "commit", lambda _: None)(epoch)
+        if out is not None and on_new:
+            on_new(out, epoch)
+
+    updater.prepare()
+    try:
+        for_each_batch(df, one, checkpoint).awaitTermination()
+    finally:
+        updater.cleanup()
+    return state
 
 
 def rolling_top(df: DataFrame, obj: str, n: int) -> DataFrame:
@@ -73,4 +138,4 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
 
     query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(path).select(*df.columns)
+    return spark.read.option("recursiveFileLookup", "true").parquet(path).select(*df.columns)  # folders are no columns

@@ -1,5 +1,6 @@
 """Row functions, filters, aggregators and partitioning: literal examples and small golden results."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -23,23 +24,23 @@ def got(s):
 
 @pytest.fixture
 def abc(spark):
-    return stream(spark, [(1, 2, 3), (4, 1, 6), (3, 0, 8)], "a int, b int, c int")
+    return stream(spark, [(7, 3, 1), (5, 0, 2), (9, 1, 4)], "a int, b int, c int")
 
 
 def test_function_appends_and_drops(abc):
     upto = F.when(F.col("b") > 0, F.sequence(F.lit(0), F.col("b") - 1))
-    expected = Counter([(1, 2, 3, 0), (1, 2, 3, 1), (4, 1, 6, 0)])
+    expected = Counter((*r, i) for r in [(7, 3, 1), (5, 0, 2), (9, 1, 4)] for i in range(r[1]))
     assert got(abc.each(upto, "d", flat=True)) == expected
     assert got(abc.each_python(lambda b: [(i,) for i in range(b)], ["b"], "d int")) == expected
 
 
 def test_filters(spark, abc):
-    assert got(stream(spark, [(1, 2, 3), (2, 1, 1), (2, 3, 4)], "a int, b int, c int").filter((F.col("b") == 1) & (F.col("a") == 2))) == Counter([(2, 1, 1)])
+    assert got(abc.filter((F.col("b") < 2) & (F.col("a") > 5))) == Counter([(9, 1, 4)])
     s = stream(spark, [(1, 1), (1, 2), (None, None), (None, 1)], "x int, y int")
     assert got(s.filter_null("x")) == Counter([(1, 1), (1, 2)])
     assert got(s.filter_equal("x", "y")) == Counter([(1, 1), (None, None)])
     assert got(s.filter_not(F.col("x") == F.col("y"))) == Counter([(1, 2), (None, None), (None, 1)])
-    assert got(s.filter(rows.always())) == got(s) and got(abc.project("c", "a")) == Counter([(3, 1), (6, 4), (8, 3)])
+    assert got(s.filter(rows.always())) == got(s) and got(abc.project("c", "a")) == Counter([(1, 7), (2, 5), (4, 9)])
 
 
 def test_unknown_and_duplicate_fields_raise(abc):
@@ -59,11 +60,12 @@ def test_split_functions(spark):
 
 
 def test_word_count_batches(spark):
-    s = tables.fed_batches(spark, "sentence string", [[("hello the man said",), ("the",)], [("the man on the moon",), ("where are you",)]]).project("sentence")
-    counts = s.each(rows.split_words(F.col("sentence")), "word", flat=True).group_by("word").aggregate(agg.count(), "n")
-    assert {(r[BATCH], r["word"]): r["n"] for r in counts.df.collect()}[0, "the"] == 2
-    both = {w: n for w, n in Stream(counts.df.groupBy("word").agg(F.sum("n").alias("n"))).df.collect()}
-    assert both["the"] == 4 and both["man"] == 2
+    rng = random.Random(41)
+    batches = [[(" ".join(rng.choices(["ash", "birch", "cedar", "elm"], k=rng.randrange(6))),) for _ in range(rng.randrange(1, 5))] for _ in range(3)]
+    s = tables.fed_batches(spark, "line string", batches).project("line")
+    counts = s.each(rows.split_words(F.col("line")), "word", flat=True).group_by("word").aggregate(agg.count(), "n")
+    expected = Counter((b, w) for b, lines in enumerate(batches) for (line,) in lines for w in line.split())
+    assert {(r[BATCH], r["word"]): r["n"] for r in counts.df.collect()} == dict(expected)
 
 
 def test_zero_for_empty_batches_but_not_for_groups(spark):
@@ -76,13 +78,23 @@ def test_zero_for_empty_batches_but_not_for_groups(spark):
     assert agg.one().zero == 1 and got(stream(spark, [(1,), (1,), (2,)], "v int").group_by("v").aggregate(agg.one(), "one")) == Counter([(1, 1), (2, 1)])
 
 
-def test_partition_aggregate_example(spark):
-    s = stream(spark, [(0, "a", 1), (0, "b", 2), (1, "a", 3), (1, "c", 8), (2, "e", 1), (2, "d", 9), (2, "d", 10)], "p int, a string, b int")
+def test_partition_aggregate(spark):
+    rng = random.Random(42)
+    data = [(rng.randrange(4), rng.choice("wxyz"), rng.randrange(50)) for _ in range(30)]
+    s = stream(spark, data, "p int, a string, b int")
     out = {r["p2"]: r["s"] for r in s.partition_aggregate([(agg.total("b"), "s")], F.col("p"), by="p2").df.collect()}
-    assert out == {0: 3, 1: 11, 2: 20}
+    assert out == {p: sum(b for q, _, b in data if q == p) for p in {p for p, _, _ in data}}
     physical = s.partition_aggregate([(agg.total("b"), "s")]).df.agg(F.sum("s")).first()[0]
-    assert physical == 34
-    assert "Exchange hashpartitioning" not in s.partition_by("a", n=2).df._jdf.queryExecution().optimizedPlan().toString()
+    assert physical == sum(b for _, _, b in data)
+
+
+def test_two_phases_merge_as_the_aggregators_do(spark):
+    rng = random.Random(43)
+    df = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None]), rng.randrange(9), "x") for _ in range(200)], "k int, v int, salt string")
+    pairs = [(agg.count(), "n"), (agg.one(), "one"), (agg.total("v"), "s"), (agg.collect("v"), "all")]
+    plain = df.groupBy("k").agg(*[a.expr.alias(n) for a, n in pairs])
+    twice = partitioning.two_phase(df, ["k"], pairs, 5)
+    assert sorted(map(str, twice.collect())) == sorted(map(str, plain.collect()))
 
 
 def test_user_written_aggregators(spark):
@@ -125,6 +137,6 @@ def test_first_n_and_rankings(spark):
 
 
 def test_merge_and_apply(spark):
-    a, b = stream(spark, [("the",), ("man",)], "w string"), stream(spark, [("7",)], "n string")
-    assert got(a.merge(b)) == Counter([("the",), ("man",), ("7",)]) and a.merge(b, out=["x"]).output_fields == ["x"]
-    assert a.apply_assembly(lambda s: s.filter(F.col("w") == "the")).df.count() == 1 and a.name("words").label == "words"
+    a, b = stream(spark, [("fir",), ("oak",)], "w string"), stream(spark, [("3",)], "n string")
+    assert got(a.merge(b)) == Counter([("fir",), ("oak",), ("3",)]) and a.merge(b, out=["x"]).output_fields == ["x"]
+    assert a.apply_assembly(lambda s: s.filter(F.col("w") == "fir")).df.count() == 1 and a.name("words").label == "words"

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import subprocess
 import sys
 from collections import Counter
@@ -103,11 +104,114 @@ def test_single_value_state_and_lookups(spark, tmp_path):
     assert connectors.store_lookup(asks, many, [("k", "k")], "n").count() == 3
 
 
-def test_partitioned_batches_golden(spark):
-    s = tables.partitioned_batches(spark, "word string, amt int", {0: [("dog", 3), ("cat", 4), ("apple", 1), ("dog", 3)], 1: [("cat", 1), ("mango", 4)], 2: [("happy", 11), ("mango", 2), ("zebra", 1)]}, 2)
-    sums = {(r[BATCH], r["word"]): r["s"] for r in s.group_by("word").aggregate(agg.total("amt"), "s").df.collect()}
-    assert sums == {(0, "dog"): 3, (0, "cat"): 5, (0, "mango"): 6, (0, "happy"): 11, (1, "apple"): 1, (1, "dog"): 3, (1, "zebra"): 1}
-    assert {r[BATCH]: r["n"] for r in s.aggregate(agg.count(), "n").df.collect()} == {0: 6, 1: 3}
+def test_partitioned_batches(spark):
+    rng = random.Random(51)
+    parts = {p: [(rng.choice("kmn"), rng.randrange(20)) for _ in range(rng.randrange(1, 8))] for p in range(4)}
+    s = tables.partitioned_batches(spark, "word string, amount int", parts, 3)
+    expected, sizes = Counter(), Counter()
+    for part in parts.values():
+        for i, (w, n) in enumerate(part):
+            expected[i // 3, w] += n
+            sizes[i // 3] += 1
+    assert {(r[BATCH], r["word"]): r["s"] for r in s.group_by("word").aggregate(agg.total("amount"), "s").df.collect()} == dict(expected)
+    assert {r[BATCH]: r["n"] for r in s.aggregate(agg.count(), "n").df.collect()} == dict(sizes)
+
+
+def test_a_crash_at_any_step_leaves_the_state_before(spark, tmp_path, monkeypatch):
+    s = state(spark, tmp_path, OPAQUE)
+    s.update(deltas(spark, [("x", 1)]), 1, ADD)
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    for step in ("_segment", "_publish"):
+        with monkeypatch.context() as m:
+            m.setattr(StateTable, step, crash)
+            with pytest.raises(RuntimeError):
+                s.update(deltas(spark, [("x", 5)]), 2, ADD)
+        assert values(s) == {"x": 1}
+    with monkeypatch.context() as m:
+        m.setattr(StateTable, "_clean", crash)  # the new version is there already
+        with pytest.raises(RuntimeError):
+            s.update(deltas(spark, [("x", 5)]), 2, ADD)
+    assert values(s) == {"x": 6}
+    s.update(deltas(spark, [("x", 7)]), 2, ADD)  # the batch comes again
+    assert values(s) == {"x": 8}
+
+
+def test_updates_write_what_they_touch_and_merge_segments(spark, tmp_path):
+    s = state(spark, tmp_path, TRANSACTIONAL)
+    s.put(spark.range(3000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v")), 0)
+    expected = {str(i): i for i in range(3000)}
+    for epoch in range(1, 20):
+        s.update(deltas(spark, [(str(epoch % 5), 1), (f"new{epoch}", epoch)]), epoch, ADD)
+        expected[str(epoch % 5)] += 1
+        expected[f"new{epoch}"] = epoch
+        segments = s._current()[1]["segments"]
+        assert len(segments) <= 14
+        if segments[-1][1] == 0:
+            assert spark.read.parquet(f"{s.path}/{segments[-1][0]}").count() == 2
+    assert values(s) == expected
+    assert {(r.k, r.v) for r in s.get(spark.createDataFrame([("new3",), ("none",)], "k string")).collect()} == {("new3", 3)}
+    folders = [f for f in os.listdir(tmp_path / "state") if f.startswith("s-")]
+    assert len(folders) <= 16 and not [f for f in os.listdir(tmp_path / "state") if f.startswith(".staged")]
+
+
+def test_reducers_and_combiners_in_state(spark, tmp_path):
+    rng = random.Random(52)
+    batches = [[(rng.choice(["a", "b", None]), rng.randrange(100), i) for i in range(12)] for _ in range(3)]
+    joined = agg.Reducer(lambda: "", lambda now, r: f"{now}{r['x']};", "string")
+    for kind in (NON_TRANSACTIONAL, TRANSACTIONAL, OPAQUE):
+        s = StateTable(spark, str(tmp_path / kind), "k string", "v string", kind)
+        expected, before = {}, {}
+        for epoch, rows_ in enumerate(batches):
+            for attempt in range(2):
+                used = rows_ if attempt == 0 or kind != OPAQUE else rows_[:5]
+                touched = runner.update_state(spark.createDataFrame(used, "k string, x int, i int").repartition(3), ["k"], joined, s, epoch, order=["i"])
+                if kind == OPAQUE and attempt == 1:
+                    expected = {k: v for k, v in before.items()} | {k: v for k, v in expected.items() if k not in {r[0] for r in used}}
+                if attempt == 0:
+                    before = dict(expected)
+                if attempt == 0 or kind != TRANSACTIONAL:
+                    for k, x, _ in used:
+                        expected[k] = expected.get(k, "") + f"{x};"
+                assert {r.k for r in touched.collect()} == {r[0] for r in used}
+        assert values(s) == expected, kind
+    one = StateTable(spark, str(tmp_path / "one"), "", "v long", OPAQUE)
+    least = agg.Combiner(lambda r: r["x"], min, lambda: 0, "long")
+    for epoch, rows_ in enumerate(batches):
+        runner.update_state(spark.createDataFrame(rows_, "k string, x int, i int"), [], least, one, epoch)
+    assert one.snapshot().first()["v"] == min(x for b in batches for _, x, _ in b)
+
+
+class KeepLargest(runner.StateUpdater):
+    """A state of the user's own kind: a dict."""
+
+    def __init__(self):
+        self.calls = []
+
+    def prepare(self):
+        self.calls.append("prepare")
+
+    def update(self, state, batch, epoch):
+        rows_ = batch.groupBy("word").agg(F.max("n").alias("n")).collect()
+        state.update({r["word"]: max(r["n"], state.get(r["word"], 0)) for r in rows_})
+        return batch.sparkSession.createDataFrame([(k, v) for k, v in state.items()], "word string, n int")
+
+    def cleanup(self):
+        self.calls.append("cleanup")
+
+
+def test_updaters_and_new_values(spark, tmp_path):
+    path = write_parts(spark, tmp_path, [[("oak", 1), ("elm", 5)], [("oak", 3), ("fir", 2), ("oak", 2)]], "word string, n int")
+    updater, seen = KeepLargest(), []
+    made = runner.partition_persist(tables.file_stream(spark, path, "word string, n int"), dict, updater, str(tmp_path / "cp1"), lambda df, epoch: seen.append((epoch, df.count())))
+    assert made == {"oak": 3, "elm": 5, "fir": 2} and updater.calls == ["prepare", "cleanup"] and seen == [(0, 2), (1, 3)]
+    s, folder = StateTable(spark, str(tmp_path / "sums"), "word string", "total long", TRANSACTIONAL), str(tmp_path / "new")
+    chained = runner.new_values_stream(s, folder)
+    runner.persistent_aggregate(tables.file_stream(spark, path, "word string, n int"), ["word"], agg.total("n"), s, str(tmp_path / "cp2"), new_values=folder).awaitTermination()
+    out = runner.drain(chained.filter("total > 1"))
+    assert {tuple(r) for r in out.collect()} == {("elm", 5, 0), ("oak", 6, 1), ("fir", 2, 1)}
 
 
 def write_parts(spark, tmp_path, parts, schema):
@@ -117,27 +221,29 @@ def write_parts(spark, tmp_path, parts, schema):
 
 
 def test_persistent_aggregate_stream(spark, tmp_path):
-    path = write_parts(spark, tmp_path, [[("hello the man said",), ("the",)], [("the man on the moon",), ("where are you",)]], "sentence string")
-    words = Stream(tables.file_stream(spark, path, "sentence string")).each(rows.split_words(F.col("sentence")), "word", flat=True).df
+    rng = random.Random(53)
+    lines = [" ".join(rng.choices(["ash", "birch", "cedar", "elm"], k=rng.randrange(1, 6))) for _ in range(5)]
+    path = write_parts(spark, tmp_path, [[(x,) for x in lines[:2]], [(x,) for x in lines[2:]]], "line string")
+    words = Stream(tables.file_stream(spark, path, "line string")).each(rows.split_words(F.col("line")), "word", flat=True).df
     s = StateTable(spark, str(tmp_path / "counts"), "word string", "n long", TRANSACTIONAL)
     runner.persistent_aggregate(words, ["word"], agg.count(), s, str(tmp_path / "cp")).awaitTermination()
-    counts = {r["word"]: r["n"] for r in s.snapshot().collect()}
-    assert counts["the"] == 4 and counts["man"] == 2
+    expected = Counter(w for x in lines for w in x.split())
+    assert {r["word"]: r["n"] for r in s.snapshot().collect()} == dict(expected)
     functions = requests.Functions(spark)
     def total(df):
         found = query.map_get(Stream(df).each(rows.split_words(F.col("args")), "word", flat=True).df, s.snapshot(), [("word", "word")], "n", "n")
         return found.groupBy("request_id").agg(F.sum("n").alias("n"))
     functions.register("words", total, ["n"])
-    assert functions.execute("words", "man where you the") == '[["8"]]' and functions.execute("words", "") == "[]"
+    assert functions.execute("words", "elm pine ash") == f'[["{expected["elm"] + expected["ash"]}"]]' and functions.execute("words", "") == "[]"
     with pytest.raises(ValueError):
         functions.execute("nope", "")
 
 
 def test_running_count_and_expiry_streams(spark, tmp_path):
     processors.use_rocksdb(spark)
-    path = write_parts(spark, tmp_path, [[("nathan",), ("bob",)], [("joey",), ("nathan",)]], "w string")
+    path = write_parts(spark, tmp_path, [[("k1",), ("k2",)], [("k3",), ("k1",)]], "w string")
     out = runner.drain(processors.running_count_stream(tables.file_stream(spark, path, "w string"), "w"))
-    assert Counter((r["key"], r["running"]) for r in out.collect()) == Counter([("nathan", 1), ("nathan", 2), ("bob", 1), ("joey", 1)])
+    assert Counter((r["key"], r["running"]) for r in out.collect()) == Counter([("k1", 1), ("k1", 2), ("k2", 1), ("k3", 1)])
     known: list = []
     df = processors.expiring_keys(tables.file_stream(spark, path, "w string"), "w", 600_000)
     q = runner.for_each_batch(df, lambda batch, epoch: known.extend(batch.collect()), queries.fresh_path(spark, "cp"), every="0 seconds")
@@ -145,7 +251,7 @@ def test_running_count_and_expiry_streams(spark, tmp_path):
         if len(known) >= 4 or q.awaitTermination(0.3):
             break
     q.stop()
-    assert Counter((r["key"], r["known"]) for r in known) == Counter([("nathan", False), ("nathan", True), ("bob", False), ("joey", False)])
+    assert Counter((r["key"], r["known"]) for r in known) == Counter([("k1", False), ("k1", True), ("k2", False), ("k3", False)])
 
 
 def test_python_source(spark):
