@@ -234,12 +234,13 @@ def join_inner(spark, d):
 
 
 def _sided(spark, d, types):
-    orders = read(spark, d, "orders").filter(F.col("o_custkey") % 3 != 0).project("o_custkey", "o_orderkey")
-    customers = read(spark, d, "customer").filter(F.col("c_custkey") % 2 == 0).project("c_custkey", "c_name")
-    return join([(customers, ["c_custkey"]), (orders, ["o_custkey"])], ["k", "c_name", "o_orderkey"], types).df
+    """All rows: odd customers get keys that no order has, every third customer's orders get a null key."""
+    customers = read(spark, d, "customer").each(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")), "ck").project("ck", "c_name")
+    orders = read(spark, d, "orders").each(F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")), "ok").project("ok", "o_orderkey")
+    return join([(customers, ["ck"]), (orders, ["ok"])], ["k", "c_name", "o_orderkey"], types).df
 
 
-SIDED = "select coalesce(c_custkey, o_custkey) k, c_name, o_orderkey from (select * from customer where c_custkey % 2 = 0) {how} join (select * from orders where o_custkey % 3 <> 0) on c_custkey = o_custkey"
+SIDED = "select coalesce(ck, ok) k, c_name, o_orderkey from (select case when c_custkey % 2 = 0 then c_custkey else -c_custkey end ck, c_name from customer) {how} join (select case when o_custkey % 3 <> 0 then o_custkey end ok, o_orderkey from orders) on ck = ok"
 
 
 @registered(SIDED.format(how="left"))
@@ -257,31 +258,6 @@ def join_full(spark, d):
     return _sided(spark, d, [OUTER, OUTER])
 
 
-def _sided_whole(spark, d, types):
-    """All rows: odd customers get keys that no order has, every third customer's orders get a null key."""
-    customers = read(spark, d, "customer").each(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")), "ck").project("ck", "c_name")
-    orders = read(spark, d, "orders").each(F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")), "ok").project("ok", "o_orderkey")
-    return join([(customers, ["ck"]), (orders, ["ok"])], ["k", "c_name", "o_orderkey"], types).df
-
-
-SIDED_WHOLE = "select coalesce(ck, ok) k, c_name, o_orderkey from (select case when c_custkey % 2 = 0 then c_custkey else -c_custkey end ck, c_name from customer) {how} join (select case when o_custkey % 3 <> 0 then o_custkey end ok, o_orderkey from orders) on ck = ok"
-
-
-@registered(SIDED_WHOLE.format(how="left"))
-def join_left_whole(spark, d):
-    return _sided_whole(spark, d, [INNER, OUTER])
-
-
-@registered(SIDED_WHOLE.format(how="right"))
-def join_right_whole(spark, d):
-    return _sided_whole(spark, d, [OUTER, INNER])
-
-
-@registered(SIDED_WHOLE.format(how="full"))
-def join_full_whole(spark, d):
-    return _sided_whole(spark, d, [OUTER, OUTER])
-
-
 @registered("select n_nationkey k, c_custkey, n_name, s_suppkey from customer join nation on c_nationkey = n_nationkey join supplier on s_nationkey = n_nationkey")
 def join_three_way(spark, d):
     sides = [(read(spark, d, "customer").project("c_nationkey", "c_custkey"), ["c_nationkey"]), (read(spark, d, "nation").project("n_nationkey", "n_name"), ["n_nationkey"]),
@@ -289,22 +265,10 @@ def join_three_way(spark, d):
     return join(sides, ["k", "c_custkey", "n_name", "s_suppkey"]).df
 
 
-@registered("""select coalesce(n_nationkey, s_nationkey) k, n_name, s_suppkey, c_custkey from (select * from nation where n_nationkey % 2 = 0) n
-    full join (select * from supplier where s_nationkey % 3 = 0) s on n_nationkey = s_nationkey
-    join (select * from customer where c_custkey % 5 = 0) c on c_nationkey = coalesce(n_nationkey, s_nationkey)
-    union all select c_nationkey, null, null, c_custkey from customer where c_custkey % 5 = 0 and c_nationkey % 2 <> 0
-    and c_nationkey not in (select s_nationkey from supplier where s_nationkey % 3 = 0)""")
-def join_mixed(spark, d):
-    sides = [(read(spark, d, "nation").filter(F.col("n_nationkey") % 2 == 0).project("n_nationkey", "n_name"), ["n_nationkey"]),
-             (read(spark, d, "supplier").filter(F.col("s_nationkey") % 3 == 0).project("s_nationkey", "s_suppkey"), ["s_nationkey"]),
-             (read(spark, d, "customer").filter(F.col("c_custkey") % 5 == 0).project("c_nationkey", "c_custkey"), ["c_nationkey"])]
-    return join(sides, ["k", "n_name", "s_suppkey", "c_custkey"], [OUTER, OUTER, INNER]).df
-
-
 @registered("""select c_nationkey k, n_name, s_suppkey, c_custkey from customer
     left join (select case when n_nationkey % 2 = 0 then n_nationkey else -n_nationkey end nk, n_name from nation) on nk = c_nationkey
     left join (select case when s_nationkey % 3 = 0 then s_nationkey else -s_nationkey end sk, s_suppkey from supplier) on sk = c_nationkey""")
-def join_mixed_whole(spark, d):
+def join_mixed(spark, d):
     moved = lambda key, n: F.when(F.col(key) % n == 0, F.col(key)).otherwise(-F.col(key))
     sides = [(read(spark, d, "nation").each(moved("n_nationkey", 2), "nk").project("nk", "n_name"), ["nk"]),
              (read(spark, d, "supplier").each(moved("s_nationkey", 3), "sk").project("sk", "s_suppkey"), ["sk"]),
@@ -502,17 +466,9 @@ def opaque_replay(spark, d):
     return state.snapshot()
 
 
-@registered("select user_id, 2 * count(*) n from events where event_id % 2 = 0 group by 1")
-def non_transactional_replay(spark, d):
-    state, even, _ = _counts(spark, d, NON_TRANSACTIONAL, "plain")
-    _update(state, even, 1)
-    _update(state, even, 1)
-    return state.snapshot()
-
-
 @registered("select user_id, (count(*) + count(*) filter (where event_id % 2 = 0))::bigint n from events group by 1")
-def non_transactional_replay_whole(spark, d):
-    state, even, odd = _counts(spark, d, NON_TRANSACTIONAL, "plain_whole")
+def non_transactional_replay(spark, d):
+    state, even, odd = _counts(spark, d, NON_TRANSACTIONAL, "plain")
     _update(state, even, 1)
     _update(state, even, 1)
     _update(state, odd, 2)
@@ -527,17 +483,10 @@ def state_remove(spark, d):
     return state.snapshot()
 
 
-@registered("select user_id, '[1,' || count(*) || ',null]' json from events where event_id % 2 = 0 group by 1")
-def state_json(spark, d):
-    state, even, _ = _counts(spark, d, OPAQUE, "json")
-    _update(state, even, 1)
-    return state.as_json()
-
-
 @registered("""with c as (select user_id, count(*) n, count(*) filter (where event_id % 2 = 0) a from events group by 1)
     select user_id, case when n = a then '[1,' || n || ',null]' else '[2,' || n || ',' || case when a > 0 then a::varchar else 'null' end || ']' end json from c""")
-def state_json_whole(spark, d):
-    state, even, odd = _counts(spark, d, OPAQUE, "json_whole")
+def state_json(spark, d):
+    state, even, odd = _counts(spark, d, OPAQUE, "json")
     _update(state, even, 1)
     _update(state, odd, 2)
     return state.as_json()

@@ -197,13 +197,13 @@ def test_queries_over_whole_tables(spark, sf_dir, monkeypatch):
     put, sizes = StateTable.put, []
     monkeypatch.setattr(StateTable, "put", lambda self, df, *a: (sizes.append(df.count()), put(self, df, *a))[1])
     found = {}
-    for name in ("join_left_whole", "join_right_whole", "join_full_whole", "join_mixed_whole", "non_transactional_replay_whole", "state_json_whole", "map_get"):
+    for name in ("join_left", "join_right", "join_full", "join_mixed", "non_transactional_replay", "state_json", "map_get"):
         sizes.clear()
         df = queries.QUERIES[name](spark, sf_dir)
         found[name] = df.collect()
         assert Counter(map(tuple, found[name])) == Counter(db.execute(queries.ORACLE_SQL[name]).fetchall()), name
         assert df.columns == [c[0] for c in db.description], name
     assert sizes == [rows["customer"]]
-    assert len({r.o_orderkey for r in found["join_full_whole"]} - {None}) == rows["orders"] and len({r.c_name for r in found["join_full_whole"]} - {None}) == rows["customer"]
-    assert len({r.c_custkey for r in found["join_mixed_whole"]}) == rows["customer"]
-    assert sum(r.n for r in found["non_transactional_replay_whole"]) == rows["events"] + db.execute("select count(*) from events where event_id % 2 = 0").fetchone()[0]
+    assert len({r.o_orderkey for r in found["join_full"]} - {None}) == rows["orders"] and len({r.c_name for r in found["join_full"]} - {None}) == rows["customer"]
+    assert len({r.c_custkey for r in found["join_mixed"]}) == rows["customer"]
+    assert sum(r.n for r in found["non_transactional_replay"]) == rows["events"] + db.execute("select count(*) from events where event_id % 2 = 0").fetchone()[0]
