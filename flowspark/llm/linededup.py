@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from flowspark.llm.common import WHITE, ascii_lower, fresh, let, save
 
-#: A key is hot from this share of all line rows on, and from this many rows; so at most 1 / HOT_SHARE keys are hot.
-HOT_SHARE = 1 / 5000
-HOT_ROWS = 1000
+#: A key with more rows than this is hot: its documents are counted by partial aggregation, not in one sorted run.
+HOT_ROWS = 20_000
+#: Hot keys up to which their table (some 40 bytes a key) is broadcast; beyond, rows and keys meet salted.
+BROADCAST_KEYS = 100_000
+SALTS = 64
+#: Rows of a hash range, about.
+RANGE_ROWS = 1_000_000
 
 
 def line_keys(text: Column) -> Column:
@@ -25,6 +29,14 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), key)
 
 
+def _meet(rows: DataFrame, hot: DataFrame, keys: int, how: str) -> DataFrame:
+    """``rows`` joined with ``hot``, a table of ``keys`` hot keys; a hot key's rows never meet in one task."""
+    if keys <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(hot), ["k1", "k2"], how)
+    salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["k1", "k2", "salt"], how).drop("salt")
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc, print, drops): for each distinct (doc_id, text) the sorted positions of the lines it loses."""
     spark = docs.sparkSession
@@ -32,18 +44,15 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
             .filter(F.col("key.chars") >= min_chars).select("doc", "print", "pos", "key.k1", "key.k2"))
     rows = save(rows, "lines")
 
-    # Hot keys: few by construction, so they fit a broadcast; their documents are counted by partial aggregation.
-    total = rows.count()
-    hot = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(HOT_ROWS, total * HOT_SHARE)).drop("n")
-    hot = save(hot, "hot-lines")
-    summary = (rows.join(F.broadcast(hot), ["k1", "k2"]).groupBy("k1", "k2")
+    hot = save(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS).drop("n"), "hot-lines")
+    keys, total = hot.count(), rows.count()
+    summary = (_meet(rows, hot, keys, "inner").groupBy("k1", "k2")
                .agg(F.count_distinct(F.coalesce(F.col("doc").cast("string"), F.lit(""))).alias("docs"), F.max("doc").alias("home")))
-    settled = F.broadcast(save(summary, "hot-summary"))
-    from_hot = rows.join(settled, ["k1", "k2"]).filter((F.col("docs") >= min_docs) & ~F.col("doc").eqNullSafe(F.col("home")))
+    from_hot = _meet(rows, save(summary, "hot-summary"), keys, "inner").filter((F.col("docs") >= min_docs) & ~F.col("doc").eqNullSafe(F.col("home")))
 
     # All others: ranges of the (uniform) first hash word, sorted by key, document and position, then streamed.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cold = rows.join(F.broadcast(hot), ["k1", "k2"], "left_anti").repartitionByRange(parts, "k1")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_ROWS)
+    cold = _meet(rows, hot, keys, "left_anti").repartitionByRange(parts, "k1")
     order = Window.partitionBy("k1", "k2").orderBy(F.col("doc").desc_nulls_last(), "pos")
     whole = Window.partitionBy("k1", "k2").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = cold.withColumn("new", F.when(F.lag("doc").over(order).eqNullSafe(F.col("doc")), 0).otherwise(1))

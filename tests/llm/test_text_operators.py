@@ -108,6 +108,9 @@ def test_line_dedup_hot_keys_and_repeats(spark, monkeypatch):
     assert lines_of(df) == expected
     monkeypatch.setattr(linededup, "HOT_ROWS", 5)
     assert lines_of(df) == expected
+    monkeypatch.setattr(linededup, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(linededup, "RANGE_ROWS", 20)
+    assert lines_of(df) == expected
 
 
 def test_line_dedup_runs_and_clean(odd):
