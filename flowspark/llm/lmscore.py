@@ -168,10 +168,10 @@ def _answer(table):
         if kind == 0:
             sums = np.array([totals[0].sum(), (totals[0] > 0).sum(), totals[1].sum(), (totals[1] > 0).sum()], float)
         for r, part in zip(rows, np.split(place, cuts[:-1]), strict=True):
-            out.append((r["block"], r["range"], kind, _squeeze(totals[0][part]), _squeeze(totals[1][part])))
-    out.append((-1, int(table.column("range")[0].as_py()), 0, sums.tobytes(), b""))
-    names = ["block", "range", "kind", "counted", "kept"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            out.append((r["block"], r["range"], kind, _squeeze(totals[0][part]), _squeeze(totals[1][part]), None))
+    out.append((-1, int(table.column("range")[0].as_py()), 0, b"", b"", sums.tolist()))
+    names = ["block", "range", "kind", "counted", "kept", "sums"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
@@ -211,7 +211,8 @@ def _held_out(left, right, n: float, v: float):
 def learn_weights(cells: list[tuple[int, float, float, float]], uniform: float, rounds: int = 100) -> np.ndarray:
     """Weights (pair, word, uniform) of each bucket, by expectation-maximisation over held-out counts given as
     (code, tokens, sum of log pair estimates, sum of log word estimates). A bucket without counts takes those of
-    the nearest bucket below that has some; the uniform part keeps at least a millionth."""
+    the nearest bucket below that has some; the uniform part keeps at least a millionth. Below the first bucket with
+    counts, unseen contexts take (0, 0.9, 0.1) and seen ones (0.4, 0.5, 0.1): so do all without held-out text."""
     out = np.zeros((66, 3))
     previous = np.array([0.0, 0.9, 0.1])
     by_bucket: dict[int, list] = {}
@@ -254,11 +255,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(1, size / RANGE)))))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 4)
     asked = _requests(blocks, bits).repartition(parts, "range")
-    answers = save(asked.groupBy("range").applyInArrow(_answer, "block long, range int, kind int, counted binary, kept binary"), "lm-counts", compression="none")
-    totals = np.zeros(4)
-    for r in answers.filter("block = -1").select("counted").toLocalIterator():  # one row a range
-        totals += np.frombuffer(r[0], float)
-    n, v, n_kept, v_kept = totals.tolist()
+    answers = save(asked.groupBy("range").applyInArrow(_answer, "block long, range int, kind int, counted binary, kept binary, sums array<double>"), "lm-counts", compression="none")
+    n, v, n_kept, v_kept = (x or 0.0 for x in answers.filter("block = -1").agg(*[F.sum(F.col("sums")[i]) for i in range(4)]).first())
 
     asked_of = answers.filter("block >= 0")
     kept = asked_of.select("block", "range", "kind", "kept")

@@ -598,3 +598,8 @@ def test_large_buckets_of_texts_below_the_threshold(spark, monkeypatch):
     rows += [(200 + i, edited(rng, rows[i % 40][1], rng.choice([1, 2, 3]))) for i in range(60)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.group(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()}
     assert got == brute_groups(rows, 3, 85)
+
+
+def test_weights_without_held_out_counts():
+    w = lmscore.learn_weights([], 1e-3)
+    assert w[0].tolist() == [0.0, 0.9, 0.1] and (w[1:] == [0.4, 0.5, 0.1]).all()
