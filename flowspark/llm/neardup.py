@@ -2,12 +2,11 @@
 
 Texts with equal shingle sets form one node, so groups of copies cost one row. Nodes that share a band of
 their signatures meet in a bucket. Within a bucket nodes are compared with one leader first (a star, linear
-in the bucket) and components are formed. Only nodes of a bucket whose components still differ are compared
-afterwards: small buckets list their pairs, large ones compare signatures in blocks and emit candidates in
-rounds, so that links found in one round spare the next. Everywhere a candidate passes batches of signature
-comparisons as long as the posterior probability of reaching the threshold is at least ``miss``, and what
-passes is confirmed on the full shingle sets; no pair of a bucket is skipped unless confirmed links already
-connect it or its numbers of shingles rule it out.
+in the bucket), components are formed, and only pairs whose components still differ are compared afterwards,
+one by one in small buckets and in blocks in large ones, which report connecting links alone; no pair of a bucket
+is skipped unless a chain of confirmed links already connects it. In buckets of every size a candidate passes
+batches of signature comparisons as long as the posterior probability of reaching the threshold is at least
+``miss``, and what passes is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import by_bytes, document_words, mix64, save, text_bytes
@@ -27,10 +26,9 @@ ROWS = 5
 BATCH = 20
 #: Members of a bucket up to which all its pairs that are still apart are listed.
 SMALL = 16
-#: Nodes of a large bucket in one block: 2 MB of signatures, whatever the texts' sizes.
-BLOCK = 4096
-#: Candidates that a node emits from a block in the first round; four times as many in each further round.
-FIRST = 2
+#: Nodes in a block of a family, and bytes of their shingles, about.
+BLOCK = 1024
+BLOCK_BYTES = 32 << 20
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -214,90 +212,82 @@ def components(links: DataFrame) -> DataFrame:
         edges = save(small.distinct(), "edges")
 
 
-def size_class(n: Column, percent: int) -> Column:
-    """Sets whose classes differ by more than one are too different in size to reach the threshold."""
-    return F.floor(F.log(n.cast("double")) / -math.log(percent / 100) + 1e-9).cast("int")
+def _family_links(rest: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, miss: float, size: int) -> DataFrame:
+    """Links (a, b) that join different roots among the members of large buckets (key, node, leader, root), exact
+    and complete up to connectivity.
 
-
-def _block_candidates(rows: DataFrame, percent: int, miss: float, size: int, most: int) -> DataFrame:
-    """(a, b, more) from large buckets ``rows`` (key, node, root, n, sig): for each node, the up to ``most`` likeliest
-    partners with another root in each block of its bucket, by sequential Bayesian comparison of signatures; ``more``
-    says that a block had further ones.
-
-    Members of a bucket's largest component needn't be compared with each other, so one side of each comparison are
-    the others. Sizes must be within a class of each other.
+    Buckets that share members form a family, so a group that meets in many bands is treated once. Each member
+    outside the family's largest component is compared with all members. Both sides come in blocks of about
+    ``BLOCK`` nodes and ``BLOCK_BYTES``. A task compares signatures batch by batch, drops what the posterior bound rules
+    out, counts the common shingles of the rest by an index over shingles, and reports only links that connect what it
+    has not connected yet: fewer than it has nodes.
     """
     steps = [*range(BATCH, size, BATCH), size]
     least = [least_matches(n, percent, miss) for n in steps]
-    rows = rows.withColumn("class", size_class(F.col("n"), percent))
-    largest = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
-    rows = rows.join(largest, "key").withColumn("few", F.col("root") != F.col("main"))
-    sizes = rows.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("wide"), F.ceil(F.sum(F.col("few").cast("int")) / BLOCK).cast("int").alias("tall"))
-    sizes = save(sizes, "block-sizes")
-    near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
+    families = components(rest.select(F.col("leader").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("family"))
+    rows = rest.select("node", "root").distinct().join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    rows = save(rows.join(nodes.select("node", "n_shingles"), "node"), "families")
+    sizes = rows.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("n_shingles")).alias("bytes"))
+    sizes = sizes.groupBy("family").agg(F.sum("n").alias("all"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("largest"))
+    blocks = lambda n, b: F.ceil(F.greatest(n / BLOCK, b / BLOCK_BYTES)).cast("int")
+    sizes = sizes.select("family", F.col("largest.root").alias("main"), blocks(F.col("all"), F.col("bytes")).alias("wide"),
+                         blocks(F.col("all") - F.col("largest.n"), F.col("bytes") - F.col("largest.bytes")).alias("tall")).filter("tall > 0")
+    table = rows.join(sizes, "family").join(sets, "node").join(nodes.select("node", "sig"), "node")
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    # A comparison is named by bucket, the two classes and the two blocks: (c, i) of the few, (d, j) of all.
-    of_few = sizes.select(F.col("key"), F.col("class").alias("c"), "tall").filter("tall > 0")
-    of_all = sizes.select(F.col("key"), F.col("class").alias("d"), "wide")
-    few = rows.filter("few").withColumnRenamed("class", "c").join(of_few, ["key", "c"]).withColumn("i", block(F.col("tall")))
-    few = few.withColumn("d", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))).join(of_all, ["key", "d"]).withColumn("j", every(F.col("wide")))
-    other = rows.withColumn("c", near).withColumnRenamed("class", "d").join(of_all, ["key", "d"]).withColumn("j", block(F.col("wide"))).join(of_few, ["key", "c"]).withColumn("i", every(F.col("tall")))
-    names = ["key", "c", "d", "i", "j"]
+    columns = ["family", "i", "j", "node", "root", "shingles", "sig"]
+    few = table.filter("root <> main").withColumn("i", block(F.col("tall"))).withColumn("j", every(F.col("wide"))).select(columns)
+    all_ = table.withColumn("j", block(F.col("wide"))).withColumn("i", every(F.col("tall"))).select(columns)
 
     def run(left, right):
         import pyarrow as pa
 
-        x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32).reshape(-1, size) for t, c in ((left, "sig_"), (right, "sig")))
-        roots, nodes = right.column("root").to_numpy(), right.column("node").to_numpy()
-        a, b, more = [], [], []
-        for k, (node, root) in enumerate(zip(left.column("node_").to_pylist(), left.column("root_").to_pylist(), strict=True)):
-            live = np.flatnonzero(roots != root)
-            matches, done = np.zeros(len(y), np.int32), 0
+        found = [_unpack(x.as_py()) for x in right.column("shingles")]
+        sizes, nodes, roots = np.array([len(f) for f in found]), right.column("node").to_pylist(), right.column("root").to_pylist()
+        elements, place = np.unique(np.concatenate(found), return_inverse=True)
+        owners = np.repeat(np.arange(len(found)), sizes)[np.argsort(place, kind="stable")]
+        first = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(elements)))))
+        signatures = np.frombuffer(b"".join(right.column("sig").to_pylist()), np.uint32).reshape(-1, size)
+        ranked = np.array(roots)
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        links = []
+        for node, root, blob, sig in zip(left.column("node_").to_pylist(), left.column("root_").to_pylist(), left.column("shingles_"), left.column("sig_"), strict=True):
+            own = np.frombuffer(sig.as_py(), np.uint32)
+            live, matches, done = np.flatnonzero(ranked != root), np.zeros(len(ranked), np.int32), 0
             for n, m in zip(steps, least, strict=True):
-                matches[live] += (y[live, done:n] == x[k, done:n]).sum(axis=1, dtype=np.int32)
+                matches[live] += (signatures[live, done:n] == own[done:n]).sum(axis=1, dtype=np.int32)
                 live, done = live[matches[live] >= m], n
-                if not len(live):
-                    break
-            if len(live):
-                best = live[np.lexsort((nodes[live], -matches[live]))][:most]
-                a += [node] * len(best)
-                b += nodes[best].tolist()
-                more += [len(live) > most] * len(best)
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
-
-    few = few.select(*names, "node", "root", "sig").toDF("k_", "c_", "d_", "i_", "j_", "node_", "root_", "sig_")
-    pairs = few.groupBy("k_", "c_", "d_", "i_", "j_").cogroup(other.select(*names, "node", "root", "sig").groupBy(*names)).applyInArrow(
-        lambda left, right: run(left, right) if len(left) and len(right) else _no_pairs(), "a long, b long, more boolean")
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
-
-
-def _no_pairs():
+            if not len(live):
+                continue
+            mine = _unpack(blob.as_py())
+            at = np.searchsorted(elements, mine)
+            at = at[(at < len(elements)) & (elements[np.minimum(at, len(elements) - 1)] == mine)]
+            common = np.zeros(len(found), np.int64)
+            for a in at.tolist():
+                common[owners[first[a]:first[a + 1]]] += 1
+            for k in live[100 * common[live] >= percent * (len(mine) + sizes[live] - common[live])].tolist():
+                x, y = top(root), top(roots[k])
+                if x != y:
+                    parent[x] = y
+                    links.append((node, nodes[k]))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    keys = ["family", "i", "j"]
+    few = few.toDF("f", "p", "q", "node_", "root_", "shingles_", "sig_")  # names of its own: both sides come from one table
+    return few.groupBy("f", "p", "q").cogroup(all_.groupBy(*keys)).applyInArrow(lambda left, right: run(left, right) if len(left) and len(right) else _no_links(), "a long, b long")
+
+
+def _no_links():
     import pyarrow as pa
 
-    return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "more": pa.array([], pa.bool_())})
-
-
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``members`` (key, node) of the buckets with more than one root, with root and the bucket's size (root, size)."""
-    rooted = save(_rooted(members, roots, "node", "root"), "rooted")
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("key", "size")
-    return rooted.join(open_, "key")
-
-
-def _block_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame, percent: int, miss: float, size: int) -> DataFrame:
-    """``links`` with those that large buckets ``members`` (key, node) add. Rounds of candidates, confirmed exactly;
-    they end when no block held a candidate back."""
-    most, tried = FIRST, None
-    while True:
-        rows = _apart(members, components(links)).join(nodes.select("node", "sig", F.col("n_shingles").alias("n")), "node").select("key", "node", "root", "n", "sig")
-        found = save(_block_candidates(rows, percent, miss, size, most), "candidates")
-        fresh_ = found if tried is None else found.join(tried, ["a", "b"], "left_anti")
-        links = save(links.unionByName(_confirmed(fresh_.select("a", "b"), sets, percent)), "links")
-        if not found.filter("more").take(1):
-            return links
-        tried = found.select("a", "b") if tried is None else save(tried.unionByName(fresh_.select("a", "b")), "tried")
-        most *= 4
+    return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
 
 def _rooted(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
@@ -339,18 +329,17 @@ def _grouped(docs: DataFrame, words: int, percent: int, miss: float) -> DataFram
     links = save(_confirmed(best, sets, percent), "links")
     roots = components(links)
 
-    # Whatever is still apart within a bucket is compared: small buckets pair by pair, large ones in blocks.
-    rest = save(_apart(members, roots), "apart")
-    small = rest.filter(F.col("size") <= SMALL)
+    # Whatever is still apart within a bucket is compared: small buckets pair by pair, large ones by families.
+    rooted = save(_rooted(members, roots, "node", "root"), "rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n")
+    rest = save(rooted.join(apart, "key"), "apart")
+    small = rest.filter(F.col("n") <= SMALL)
     other = small.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
     cross = small.select("key", F.col("node").alias("a"), "root").join(other, "key").filter("a < b and root <> other").select("a", "b").distinct()
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = save(_likely(cross.join(tried, ["a", "b"], "left_anti"), nodes, percent, miss, size), "cross").select("a", "b")
-    links = save(links.unionByName(_confirmed(cross, sets, percent)), "links")
-    large = rest.filter(F.col("size") > SMALL).select("key", "node")
-    if large.take(1):
-        links = _block_links(large, nodes, sets, links, percent, miss, size)
-    roots = components(links)
+    more = _confirmed(cross, sets, percent).unionByName(_family_links(rest.filter(F.col("n") > SMALL), nodes, sets, percent, miss, size))
+    roots = components(links.unionByName(save(more, "links")))
 
     placed = _rooted(nodes.select("node", "first_doc"), roots, "node", "root")
     least = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))

@@ -229,7 +229,6 @@ def near_rows():
 def test_groups_equal_brute_force(spark, monkeypatch, n, percent, small):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", 7)
-    monkeypatch.setattr(neardup, "FIRST", 1)
     rows = near_rows()
     random.Random(1).shuffle(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, percent).collect()}
@@ -582,16 +581,9 @@ def test_equal_pieces_spread_over_groups(spark, monkeypatch):
     assert packing.pack(rows).groupBy(F.shiftright("sequence_id", 24)).count().agg(F.max("count")).first()[0] < 120
 
 
-def test_size_classes_never_part_links(spark):
-    sizes = spark.range(1, 3000).select(F.col("id").alias("n"))
-    for percent in (80, 85):
-        classes = {r.n: r.c for r in sizes.select("n", neardup.size_class(F.col("n"), percent).alias("c")).collect()}
-        assert all(abs(classes[n] - classes[m]) <= 1 for n in classes for m in (n, -(-n * percent // 100)) if m in classes and 100 * m >= percent * n)
-
-
 def test_large_buckets_of_texts_below_the_threshold(spark, monkeypatch):
-    """Many texts share most of their words with all others, but few are links: blocks, rounds and several classes."""
-    monkeypatch.setattr(neardup, "BLOCK", 50)
+    """Many texts share most of their words with all others, but few are links; blocks are bounded by bytes."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 30_000)
     rng = random.Random(17)
     shared = " ".join(f"s{i}" for i in range(120))
     rows = [(i, shared + " " + " ".join(f"o{rng.randrange(10 ** 6)}" for _ in range(rng.choice([20, 30, 60])))) for i in range(160)]
