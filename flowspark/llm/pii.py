@@ -11,7 +11,9 @@ deterministic parser of its kind that expands to both sides and validates. Kinds
 * account, routing, bic, passport, licence: what stands right after its cue, of the form of ``AFTER`` (an account number
   has 6 to 17 digits, a routing number 9 with a valid checksum, a bank code 8 or 11 letters and digits, the others at least four digits);
 * uri: an address with its scheme: name://, an optional user and password, a host, port and path; mailto: with its
-  addresses; tel:, sms:, fax: and callto: with a number of 6 to 15 digits, plus sign or not.
+  addresses; tel:, sms:, fax: and callto: with a number of 6 to 15 digits, plus sign or not;
+* secret: what opens an account: the value given to a password, token or key (8 characters or more, letters and digits
+  both, after "=" or ":", or 16 after "bearer"), and keys whose issuers publish their form (``KEYS``), after no cue.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The kinds in the order of all reports.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "uri", "account", "routing", "bic", "passport", "licence")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "uri", "account", "routing", "bic", "passport", "licence", "secret")
 BASE_KINDS = KINDS[:4]
 #: Cues (lower case) that announce an identifier, by kind.
 CUES = {"iban": ("iban",), "ssn": ("ssn", "social security")}
@@ -46,6 +48,22 @@ AFTER = {
     "passport": r"[A-Z]{0,2}(?=(?:[A-Z]*[0-9]){4})[A-Z0-9]{6,9}(?![0-9A-Za-z])",
     "licence": r"[A-Z]{0,2}(?=(?:[A-Z-]*[0-9]){4})[A-Z0-9][A-Z0-9-]{4,16}[A-Z0-9](?![0-9A-Za-z])",
 }
+#: Cues (lower case) of values that open an account.
+SECRET_CUES = ("password", "passwd", "passphrase", "pwd", "passwort", "mot de passe", "contraseña", "token", "secret", "api key", "api_key", "api-key", "apikey",
+               "access key", "access_key", "accesskey", "private key", "private_key", "bearer")
+#: Keys of a published form, by how they begin.
+KEYS = {
+    "AKIA": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "ASIA": r"ASIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "AIza": r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])",
+    "ghp_": r"ghp_[A-Za-z0-9]{36,}",
+    "gho_": r"gho_[A-Za-z0-9]{36,}",
+    "glpat-": r"glpat-[A-Za-z0-9_-]{20,}",
+    "xoxb-": r"xoxb-[0-9A-Za-z-]{20,}",
+    "xoxp-": r"xoxp-[0-9A-Za-z-]{20,}",
+    "sk_live_": r"sk_live_[A-Za-z0-9]{16,}",
+    "-----BEGIN": r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----(?:[\r\n]+[A-Za-z0-9+/=]{16,})*(?:[\r\n]+[A-Za-z0-9+/=]+)?(?:[\r\n]*-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----)?",
+}
 #: Schemes (lower case) without slashes, and whether a number or addresses follow.
 SCHEMES = {"tel:": "number", "sms:": "number", "fax:": "number", "callto:": "number", "mailto:": "addresses"}
 #: An identifier starts on the line of its cue, or within this many characters after the cue.
@@ -79,6 +97,9 @@ _NUMBER_END = re.compile(r"(?<=[0-9])(?![0-9])")
 _NUMBER_MORE = re.compile(r"(?:;[A-Za-z-]+=[\w.+%:-]*\w)+")
 
 _AFTER = {kind: re.compile(f"{BETWEEN}({form})") for kind, form in AFTER.items()}
+_SECRET = re.compile(r"""["']?[\x20\t]*(?:=>|:=|[=:])[\x20\t]*["']?((?=[^\s"']{0,63}[0-9])(?=[^\s"']{0,63}[A-Za-z])[^\s"'<>,;]{8,})""")
+_BEARER = re.compile(r"[\x20\t]+((?=[^\s]{0,63}[0-9])[A-Za-z0-9_.~+/=-]{16,})")
+_KEYS = {head.lower(): re.compile(form) for head, form in KEYS.items()}
 _WORD_CHARS = re.compile(r"[A-Za-z0-9]")
 
 _automaton = None
@@ -103,6 +124,8 @@ def automaton():
         for kind, cues in NEAR_CUES.items():
             for cue in cues:
                 _automaton.add_word(cue, (kind, len(cue)))
+        for cue in (*SECRET_CUES, *_KEYS):
+            _automaton.add_word(cue, ("secret", len(cue)))
         _automaton.make_automaton()
     return _automaton
 
@@ -253,6 +276,11 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 span = _host_address(text, start, least) if anchor == "host" else _plain_address(text, start, last + 1, anchor)
                 if span:
                     spans["uri"].append(span)
+        elif anchor == "secret":
+            start = last - width + 1
+            # A cue inside a secret starts none: each character is read once.
+            if (not spans[anchor] or start >= spans[anchor][-1][1]) and (span := _secret(text, start, last + 1)):
+                spans[anchor].append(span)
         elif anchor in NEAR_CUES:
             span = _after_cue(text, last - width + 1, last + 1, anchor)
             if span and (not spans[anchor] or span[0] >= spans[anchor][-1][1]):
@@ -281,6 +309,21 @@ def _after_cue(text: str, start: int, end: int, kind: str) -> tuple[int, int] |
     return m.span(1)
 
 
+def _secret(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The key that begins at ``start``, or the value given to the cue at ``start`` to ``end``, without the sentence's marks."""
+    cue = text[start:end].lower()
+    if cue in _KEYS:
+        m = None if start and _WORD_CHARS.match(text[start - 1]) else _KEYS[cue].match(text, start)
+        return m.span() if m else None
+    m = (_BEARER if cue == "bearer" else _SECRET).match(text, end)
+    if m is None:
+        return None
+    start, end = m.span(1)
+    while text[end - 1] in ".:!?)]}":
+        end -= 1
+    return (start, end) if end - start >= 8 else None
+
+
 def _run_end(text: str, at: int) -> int:
     """Where an address could start next if none starts in the digit run at ``at``."""
     end = at + 1
@@ -304,14 +347,14 @@ def mask(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def detect(docs: DataFrame, masked: bool = False) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_iban, n_ssn, n_uri, base_spans, base_sha256, spans[, masked_text]) of
-    each row, from its whole text.
+    """(doc_id, n_ and each of ``KINDS``, n_spans (all kinds), base_spans, base_sha256, spans[, masked_text]) of each row,
+    from its whole text.
 
     Null or empty text has no spans; its masked text is empty. Repeated rows get equal answers; other columns
     are left out; an empty table gives no rows. A regular expression's work on one run of characters bounds the
     cost, so very long texts take time in proportion to their length.
     """
-    fields = [f"n_{k}" for k in KINDS]
+    fields = [*(f"n_{k}" for k in KINDS), "n_spans"]
     schema = "doc_id long, " + ", ".join(f"{f} long" for f in fields) + ", base_spans string, base_sha256 string, spans string" + ", masked_text string" * masked
 
     def run(batches: Iterator) -> Iterator:
@@ -321,7 +364,7 @@ def detect(docs: DataFrame, masked: bool = False) -> DataFrame:
             texts = batch.column("text").to_pylist()
             found = [find(t) if t else dict.fromkeys(KINDS, []) for t in texts]
             base = [listed(s, BASE_KINDS) for s in found]
-            columns = [batch.column("doc_id"), *(pa.array([len(s[k]) for s in found], pa.int64()) for k in KINDS), pa.array(base, pa.string()),
+            columns = [batch.column("doc_id"), *(pa.array([len(s[k]) for s in found], pa.int64()) for k in KINDS), pa.array([sum(map(len, s.values())) for s in found], pa.int64()), pa.array(base, pa.string()),
                        pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()), pa.array([listed(s, KINDS) for s in found], pa.string())]
             if masked:
                 columns.append(pa.array([mask(t or "", s) for t, s in zip(texts, found, strict=True)], pa.string()))

@@ -60,7 +60,7 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return pii.detect(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
