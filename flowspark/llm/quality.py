@@ -15,6 +15,7 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Runs of symbols or of exclamation and question marks; separators that stand alone; words in capitals.
 MARKS = r"[#*$%&<>~^=_]+|!{2,}|\?{2,}"
 SEPARATORS = r"(^|[\x20\x09-\x0D])[|>»•·]([\x20\x09-\x0D]|$)"
+BARS = r"[|>»•·]"
 SHOUTS = r"(^|[\x20\x09-\x0D])\p{Lu}{2,}"
 #: Ends of sentences and clauses, closing quotes and brackets included; links.
 ENDING = r"[.!?:;…。！？：；؟।][“\"\x27”’»)\]}]*([\x20\x09-\x0D]|$)"
@@ -33,7 +34,7 @@ BOILERPLATE = (
 
 def words_of(text: Column) -> Column:
     """The words of ``text``: runs outside the white space class; null and blank text have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{WHITE_CLASS}+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{WHITE_CLASS}+"), "")
 
 
 def repeated_words(words: Column, window: int = 5) -> Column:
@@ -57,7 +58,7 @@ def repeated_words(words: Column, window: int = 5) -> Column:
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(let(ordered, covered))
 
     def grams(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)]))
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(window))))
 
     return F.when(n < window, F.lit(0).cast("long")).otherwise(let(grams(words), detail))
 
@@ -69,23 +70,24 @@ def line_passes(line: Column, max_symbol_ratio: float, max_shout_ratio: float, m
     words or more, a sentence or clause ends at least once in 100 words. Navigation: menus, that is at least three separators (``|`` ``>`` and the like)
     making up a fifth of the words, or links making up half of them. Boilerplate: a line of at most
     ``max_boilerplate_chars`` code points with a mark of ``FURNITURE``, whatever its language, or with one of the phrases
-    in ``BOILERPLATE``; longer lines may speak of such things. Shouting: most words are in capitals in a long line.
+    in ``BOILERPLATE``; longer lines may speak of such things. Shouting: most words are in capitals in a long line. Ratios are not negative. A blank line fails no rule.
     """
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
     has = lambda pattern: F.rlike(line, F.lit(pattern))
 
-    def fails(words: Column) -> Column:
-        return (
-            ((words >= min_sentence_words) & (count(ENDING) * 100 < words))
-            | ((words >= 4) & (count(MARKS) > max_symbol_ratio * words))
-            | let(count(SEPARATORS), lambda menus: (menus >= 3) & (menus * 5 >= words))
-            | ((F.length(line) <= max_boilerplate_chars) & (has(FURNITURE) | has(BOILERPLATE)))
-            | (F.contains(line, F.lit(":")) | F.contains(line, F.lit("www."))) & (count(LINKS) * 2 >= words)
-            | ((words >= 8) & (count(SHOUTS) > max_shout_ratio * words))
-        )
-
-    # Words are counted once: inside a lambda nothing shares equal expressions. A line without words is blank.
-    return let(count(rf"{WORDLESS}+"), lambda words: (words == 0) | ~fails(words))
+    # Inside a lambda nothing shares equal expressions, and counting words costs most: each rule first asks for what it
+    # cannot fail without. A line of n code points has (n + 1) / 2 words at most, so that many sentence ends settle it.
+    words = lambda rule: let(count(f"{WORDLESS}+"), rule)
+    chars = F.length(line)
+    endless = (chars >= 2 * min_sentence_words - 1) & let(
+        count(ENDING), lambda ends: (ends * 200 < chars + 1) & words(lambda n: (n >= min_sentence_words) & (ends * 100 < n)))
+    symbols = has(MARKS) & words(lambda n: (n >= 4) & (count(MARKS) > max_symbol_ratio * n))
+    menu = has(BARS) & let(count(SEPARATORS), lambda menus: (menus >= 3) & words(lambda n: menus * 5 >= n))
+    furniture = (chars <= max_boilerplate_chars) & (has(FURNITURE) | has(BOILERPLATE))
+    linked = (F.contains(line, F.lit("://")) | F.contains(line, F.lit("www.")) | F.contains(line, F.lit("mailto:"))) & let(
+        count(LINKS), lambda links: (links > 0) & words(lambda n: links * 2 >= n))
+    shouted = has(SHOUTS) & words(lambda n: (n >= 8) & (count(SHOUTS) > max_shout_ratio * n))
+    return ~(endless | symbols | menu | furniture | linked | shouted)
 
 
 def verdict_of(text: Column, max_loss: float = 0.5, max_symbol_ratio: float = 0.3, max_shout_ratio: float = 0.5, max_boilerplate_chars: int = 200,
