@@ -3,29 +3,86 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.operators.stream import Stream
-from flowspark.schema import distinct_fields, require
+from flowspark.schema import distinct_fields, require, same_key
 
 INNER, OUTER = "inner", "outer"
+#: Fixed value: about as many rows of one side and key are dealt to tasks together by joins of many to many.
+BLOCK = 512
 _TWO = {(INNER, INNER): "inner", (INNER, OUTER): "left", (OUTER, INNER): "right", (OUTER, OUTER): "full"}
 
 
-def join(sides: Sequence[tuple[Stream, Sequence[str]]], out: Sequence[str], types: Sequence[str] | None = None) -> Stream:
+def _same_keys(left: DataFrame, i: int, right: DataFrame, j: int, n_keys: int) -> Column:
+    return same_key(left, right, [(f"k{x}_{i}", f"k{x}_{j}") for x in range(n_keys)])
+
+
+def _one_by_one(tables: Sequence[DataFrame], n_keys: int, types: Sequence[str]) -> DataFrame:
+    df, so_far = tables[0], types[0]
+    for i, table in enumerate(tables[1:], 1):
+        # A row so far has every INNER side; with one of them, what it has no partner for may only be missing.
+        how = _TWO[so_far, types[i]]
+        so_far = INNER if INNER in (so_far, types[i]) else OUTER
+        df = df.join(table, _same_keys(df, 0, table, i, n_keys), how)
+        if how in ("right", "full"):
+            # Null keys may be real: take the key of whichever side is there.
+            df = df.withColumns({f"k{j}_0": F.coalesce(f"k{j}_0", f"k{j}_{i}") for j in range(n_keys)})
+    return df
+
+
+def _in_cells(tables: Sequence[DataFrame], n_keys: int, width: Sequence[int]) -> DataFrame:
+    """Inner join by cells: one block of rows of each side, all of one key. Cells are dealt to tasks evenly and
+    expanded there. Only the keys with more than BLOCK rows of a side are broadcast, at most one in BLOCK rows.
+
+    Rows go to blocks by their place in the input, which has to be the same if a task runs again (as in files).
+    """
+    cells = None
+    for i, table in enumerate(tables):
+        keys = [f"k{j}_{i}" for j in range(n_keys)]
+        large = table.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks")).filter("n_blocks > 1")
+        large = large.select(*[F.col(k).alias(f"k{j}_large") for j, k in enumerate(keys)], "n_blocks")
+        placed = table.withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
+        placed = placed.join(F.broadcast(large), _same_keys(placed, i, large, "large", n_keys), "left")
+        block = F.pmod("place", F.coalesce("n_blocks", F.lit(1)))
+        # Structs, for lists leave nulls out.
+        row = F.struct(*([f"v{j}_{i}" for j in range(width[i])] or [F.lit(0).alias("none")]))
+        blocks = placed.groupBy(*keys, block.alias("block")).agg(F.collect_list(row).alias(f"rows_{i}")).drop("block")
+        if width[i] == 1:
+            blocks = blocks.withColumn(f"rows_{i}", F.col(f"rows_{i}.v0_{i}"))
+        cells = blocks if cells is None else cells.join(blocks, _same_keys(cells, 0, blocks, i, n_keys))
+    # A number that is asked for: partitions without one are put together by size.
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df, done = cells.repartition(n), [f"k{j}_0" for j in range(n_keys)]
+    for i, w in enumerate(width):
+        mine, later = [f"v{j}_{i}" for j in range(w)], [f"rows_{x}" for x in range(i + 1, len(width))]
+        df = df.select(*done, *later, F.explode(f"rows_{i}").alias("row"))
+        df = df.select(*done, *([F.col("row").alias(*mine)] if w == 1 else [F.col(f"row.{v}") for v in mine]), *later)
+        if later:
+            # Moves nothing, but ends the generated function, which holds all that one row becomes until it returns.
+            df = df.coalesce(n)
+        done += mine
+    return df
+
+
+def join(sides: Sequence[tuple[Stream, Sequence[str]]], out: Sequence[str], types: Sequence[str] | None = None, many: bool = False) -> Stream:
     """Join streams on the fields given with each. Output: the key fields, then the other fields of each stream in
     order, renamed to ``out``; per batch if all have a batch column.
 
     ``types[i]`` says whether side i may be missing (OUTER: its fields are then null) or not (INNER, the
     default): [INNER, OUTER] is a left join. Null keys match each other.
+
+    ``many`` is for inner joins in which a key has many rows on several sides: Spark cuts tasks by the size of their
+    input, so that one task would make most of a result that is far larger. Work is then dealt by result rows.
     """
     types = list(types or [INNER] * len(sides))
     if len(sides) < 2 or len(types) != len(sides) or len({len(f) for _, f in sides}) != 1:
         raise ValueError("two or more sides, a type for each, and as many key fields in each")
+    if many and OUTER in types:
+        raise ValueError("joins of many to many are inner joins")
     batch = sides[0][0].batch if all(s.batch for s, _ in sides) else None
     tables, width = [], []
     for i, (stream, fields) in enumerate(sides):
@@ -35,15 +92,7 @@ def join(sides: Sequence[tuple[Stream, Sequence[str]]], out: Sequence[str], type
         width.append(len(rest))
         tables.append(stream.df.select(*[F.col(k).alias(f"k{j}_{i}") for j, k in enumerate(keys)], *[F.col(r).alias(f"v{j}_{i}") for j, r in enumerate(rest)]))
     n_keys = len(sides[0][1]) + bool(batch)
-    df, so_far = tables[0], types[0]
-    for i, table in enumerate(tables[1:], 1):
-        # A row so far has every INNER side; with one of them, what it has no partner for may only be missing.
-        how = _TWO[so_far, types[i]]
-        so_far = INNER if INNER in (so_far, types[i]) else OUTER
-        df = df.join(table, reduce(lambda a, b: a & b, [df[f"k{j}_0"].eqNullSafe(table[f"k{j}_{i}"]) for j in range(n_keys)]), how)
-        if how in ("right", "full"):
-            # Null keys may be real: take the key of whichever side is there.
-            df = df.withColumns({f"k{j}_0": F.coalesce(f"k{j}_0", f"k{j}_{i}") for j in range(n_keys)})
+    df = _in_cells(tables, n_keys, width) if many else _one_by_one(tables, n_keys, types)
     columns = [f"k{j}_0" for j in range(n_keys)] + [f"v{j}_{i}" for i, w in enumerate(width) for j in range(w)]
     names = [*([sides[0][0].batch] if batch else []), *distinct_fields(out)]
     if len(names) != len(columns):

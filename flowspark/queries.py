@@ -262,7 +262,7 @@ def join_full(spark, d):
 def join_three_way(spark, d):
     sides = [(read(spark, d, "customer").project("c_nationkey", "c_custkey"), ["c_nationkey"]), (read(spark, d, "nation").project("n_nationkey", "n_name"), ["n_nationkey"]),
              (read(spark, d, "supplier").project("s_nationkey", "s_suppkey"), ["s_nationkey"])]
-    return join(sides, ["k", "c_custkey", "n_name", "s_suppkey"]).df
+    return join(sides, ["k", "c_custkey", "n_name", "s_suppkey"], many=True).df
 
 
 @registered("""select c_nationkey k, n_name, s_suppkey, c_custkey from customer

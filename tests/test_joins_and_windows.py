@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from flowspark.operators import elastic, orderbook, validators, windows
+from flowspark import queries
+from flowspark.operators import elastic, joins, orderbook, validators, windows
 from flowspark.operators.joins import INNER, OUTER, join, multi_reduce, natural_join
 from flowspark.operators.stream import BATCH, Stream
 
@@ -71,6 +72,37 @@ def test_mixed_join_of_many_equals_brute_force(spark):
         assert got(join(sides, ["k", "a", "b", "c", "d"], types)) == expected, types
 
 
+def test_join_of_many_to_many_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 4)
+    rng = random.Random(33)
+    def rows(n, *keys):
+        return [(rng.choice(keys), rng.choice([None, *range(5)]), f"{i}") for i in range(n)]
+    a, b, c = rows(60, 1, 2, None, 7), rows(30, 1, 2, None, 8), [(1,), (None,), (None,), (2,), (9,)]
+    sides = [(stream(spark, a, "k int, u int, v string"), ["k"]), (stream(spark, [r[:2] for r in b], "q int, w int"), ["q"]), (stream(spark, c, "k int"), ["k"])]
+    expected = Counter((x[0], x[1], x[2], y[1]) for x in a for y in b for z in c if x[0] == y[0] == z[0])
+    assert got(join(sides, ["k", "u", "v", "w"], many=True)) == expected == got(join(sides, ["k", "u", "v", "w"]))
+    assert not got(join([sides[0], (sides[1][0].filter(F.lit(False)), ["q"])], ["k", "u", "v", "w"], many=True))
+    x = Stream(spark.createDataFrame([(i % 2, None, i) for i in range(20)], f"{BATCH} long, k int, v int"))
+    assert got(join([(x, ["k"]), (x, ["k"])], ["k", "v", "w"], many=True)) == Counter((i % 2, None, i, j) for i in range(20) for j in range(20) if i % 2 == j % 2)
+    with pytest.raises(ValueError):
+        join(sides, ["k", "u", "v", "w"], [INNER, OUTER, INNER], many=True)
+
+
+def test_one_key_of_many_rows_is_dealt_to_tasks(spark):
+    a, b = (stream(spark, [(1, i) for i in range(n)], f"k int, {v} int") for n, v in ((3000, "v"), (1500, "w")))
+    a, b = (Stream(s.df.coalesce(1)) for s in (a, b))
+    def shares(df):
+        counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        return sum(counts), max(counts) / sum(counts)
+    total, largest = shares(join([(a, ["k"]), (b, ["k"])], ["k", "v", "w"], many=True).df)
+    assert total == 3000 * 1500 and largest < 0.6
+
+
+def test_three_way_query_is_dealt_to_tasks(spark):
+    found = queries.join_three_way(spark, "/root/testdata/sf0.01").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in found) < 0.6 * sum(r["count"] for r in found)
+
+
 def test_multi_reduce(spark):
     a, b, c = stream(spark, [(1, 2), (1, 3), (2, 5)], "k int, v int"), stream(spark, [(1, 10), (3, 1)], "q int, w int"), stream(spark, [(None, 4)], "k int, u int")
     def reduce(key, sides):
